@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, quality, substring_dedup
+from . import bagminhash, binpack, fst_tokens, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,10 +33,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_tokens.token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_sequences(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_fst_token_counts": op4_fst_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
