@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, binpack, fst_tokens, quality, substring_dedup
+from . import bagminhash, binpack, decontam, fst_tokens, kdshard, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op4_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshard.kd_shards(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.pack_sequences(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_fst_token_counts": op4_fst_token_counts,
+    "op5_decontamination": op5_decontamination,
+    "op9_kd_sharding": op9_kd_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
