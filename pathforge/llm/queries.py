@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, binpack, decontam, fst_tokens, kdshard, quality, substring_dedup
+from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.kd_shards(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_fst_token_counts": op4_fst_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op8_html_text": op8_html_text,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
