@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, substring_dedup
+from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.page_records(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_fst_token_counts": op4_fst_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op6_warc_archives": op6_warc_archives,
     "op8_html_text": op8_html_text,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
