@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, substring_dedup, warc
+from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, rnnlm, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_rnn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnnlm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_fst_token_counts": op4_fst_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_warc_archives": op6_warc_archives,
+    "op7_rnn_scores": op7_rnn_scores,
     "op8_html_text": op8_html_text,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
