@@ -1,10 +1,17 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, through Parquet."""
+"""The corpus pipeline: documents in, packed sequences out, through five of the operators.
+
+Each stage works on all that its predecessor kept, written as Parquet and read again, and
+returns the columns of ``documents``, but for the last, which returns packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathforge.llm import quality
+from pathforge.llm import bagminhash, binpack, decontam, quality, substring_dedup
+from pathforge.llm.queries import tokenizer_file
+from pathforge.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +19,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id."""
+    return bagminhash.keep_one(docs)
+
+
+def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; one that loses nothing
+    stays as it is, one that loses all its words goes."""
+    out = substring_dedup.dedup_substrings(docs)
+    cut = F.col("n_removed") > 0
+    out = out.where(~cut | (F.col("n_removed") < F.col("n_words"))).withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces in sequences."""
+    return binpack.pack_sequences(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_removal),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
+
+#: SQL expresses neither compression nor tokenizers; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = scratch.save(docs)
     return docs
