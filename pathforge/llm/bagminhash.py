@@ -9,13 +9,14 @@ time; two multisets agree on it with probability sum(min) / sum(max) exactly.  P
 drawn in time order up to a horizon that hits all components but rarely; a text for which
 it does not is drawn again with a later one.
 
-Candidates share a band of ROWS components.  They are never paired off within a bucket:
-(1) each text is held against the least id of its buckets; verified links make components;
-(2) what is left apart is held against a second leader of each bucket; (3) in buckets that
-still hold several components, texts of different components are compared if at most
-``SMALL`` are left; a larger bucket is split by a further band (candidates must agree on two,
-then three), and the last split is compared whole.  Links inside one component add nothing
-and are not looked for; each text is verified by the exact overlap of the multisets.
+Candidates share a band of ROWS components.  A family of near copies shares bands in numbers
+that grow with the square of its size, so pairs are never listed bucket by bucket: (1) each
+text is held against the least id of its buckets, and verified links make components; (2) in
+each bucket that still holds several components, members are put in the order of their
+other bands, which sets the most alike side by side (an LSH forest), and each is held against
+the next ones of other components, in TURNS with other bands and a longer reach.  A bucket
+up to the last reach is compared whole; the work is linear in rows.  Links inside a component
+add nothing and are not looked for.  Each link is verified by the exact multiset overlap.
 
 Copies: texts with one word sequence are one text, whose id is their least.  A text of one
 to four words has one shingle of all its words.  A text without words (null, empty) is alone.
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,7 +39,8 @@ from .words import U, chunks, mix64, text_bytes, windows, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 30  # a pair at 0.8 shares no band with probability 7e-6
-SMALL = 64
+TURNS = ((1, 1), (7, 2), (11, 8))  # (step to the other bands, members looked at)
+PART = 1024  # members of a bucket that are ordered together
 MEMBERS_A_TASK = 256  # texts that one task holds against one leader
 _STEP = 0x9E3779B97F4A7C15
 
@@ -183,51 +185,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = scratch.save(docs.mapInArrow(lambda batches: map(_sign, batches), SIGNED))
     copies = scratch.save(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).groupBy("rep").agg(F.max("bands").alias("bands"))
+    reps = scratch.save(signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).groupBy("rep").agg(F.max("bands").alias("bands")))
     banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
     members = scratch.save(banded.join(shared, "h").select("h", "band", "rep", "lead"))
     texts = scratch.save(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
-    first = members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("b < a")
-    links = scratch.save(_verified(first, texts))
-    roots = components(links, scratch)
-    tried = scratch.save(first)
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Rows (key, band, rep) of buckets with several components, and the component."""
-        placed = rows.join(roots, rows["rep"] == roots["node"], "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "lo", "n")
+    def apart(roots: DataFrame) -> DataFrame:
+        """Rows (key, band, rep, root, n) of the buckets that hold several components."""
+        placed = members.join(roots, members["rep"] == roots["node"], "left").select(F.col("h").alias("key"), "band", "rep", F.coalesce("root", "rep").alias("root"))
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
         return placed.join(split, "key")
 
-    rows = scratch.save(apart(members.select(F.col("h").alias("key"), "band", "rep")))
-    if not rows.isEmpty():
-        # a second leader: the bucket's least text by a hash, for those of other components
-        mark = F.struct(F.xxhash64("rep"), "rep", "root")
-        leads = rows.groupBy("key").agg(F.min(mark).alias("m")).select("key", F.col("m.rep").alias("b"), F.col("m.root").alias("broot"))
-        second = rows.join(leads, "key").where("root <> broot").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        second = scratch.save(second.join(tried, ["a", "b"], "left_anti"))
-        links = links.union(scratch.save(_verified(second, texts)))
+    def neighbours(rows: DataFrame, turn: int, reach: int) -> DataFrame:
+        """Pairs of different components that are near in a bucket's order by other bands."""
+        other = [F.get(F.col("bands"), F.pmod(F.col("band") + turn * i, F.lit(BANDS)).cast("int")) for i in (1, 2, 3)]
+        rows = rows.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "root", F.array(*other).alias("near"), F.pmod(other[0], F.ceil(F.col("n") / PART)).alias("part"))
+        order = Window.partitionBy("key", "part").orderBy("near", "rep")
+        after = F.array(*[F.struct(F.lead("rep", i).over(order).alias("rep"), F.lead("root", i).over(order).alias("root")) for i in range(1, reach + 1)])
+        found = rows.select("rep", "root", F.filter(after, lambda x: x["root"] != F.col("root")).alias("after")).select("rep", F.explode("after").alias("x"))
+        return found.select(F.greatest("rep", "x.rep").alias("a"), F.least("rep", "x.rep").alias("b")).distinct()
+
+    tried = scratch.save(members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("b < a"))
+    links = scratch.save(_verified(tried, texts))
+    roots = components(links, scratch)
+    for turn, reach in TURNS:
+        rows = scratch.save(apart(roots))
+        if rows.isEmpty():
+            break
+        pairs = scratch.save(neighbours(rows, turn, reach).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        links = links.union(scratch.save(_verified(pairs, texts)))
         roots = components(links, scratch)
-        tried = tried.union(second)
-        pairs = None
-        old = rows.select("key", "band", "rep")
-        for level in range(3):
-            rows = scratch.save(apart(old))
-            if rows.isEmpty():
-                break
-            small = rows if level == 2 else rows.where(F.col("n") <= SMALL)
-            one = small.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-            two = small.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-            found = one.join(two, "key").where("b < a and ra <> rb").select("a", "b")
-            pairs = found if pairs is None else pairs.union(found)
-            large = rows.where(F.col("n") > SMALL).select("key", "band", "rep")
-            other = members.select("rep", F.col("h").alias("h2"), F.col("band").alias("band2"))
-            old = large.join(other, "rep").where("band2 > band").select(F.xxhash64("key", "h2").alias("key"), F.col("band2").alias("band"), "rep")
-        if pairs is not None:
-            third = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-            links = links.union(scratch.save(_verified(third, texts)))
-            roots = components(links, scratch)
 
     placed = copies.join(roots, copies["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "key").join(placed, "key", "left")
