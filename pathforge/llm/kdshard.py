@@ -50,15 +50,15 @@ def text_dimensions(text: Column) -> dict[str, Column]:
 
 @dataclass
 class Node:
-    first: int
+    first: int  # its first shard, which names it
     shards: int
     dim: int = 0
     lo: int = 0  # the cut lies in [lo, hi]
     hi: int = 0
     below: int = 0  # bytes below lo
     goal: float = 0.0
-    cut: int | None = None
-    tie: int | None = None  # rows at the cut with a hash below this go left
+    at: int = 0  # bytes at the cut, if it is one value
+    tie: int = 0  # rows at the cut with a hash below this go left
     done: bool = False
 
     @property
@@ -66,28 +66,18 @@ class Node:
         return self.shards // 2
 
 
-def _values(spark, names: list[str], rows: list[tuple]) -> DataFrame:
-    body = ", ".join("(" + ", ".join(f"{int(x)}L" for x in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"select * from values {body} as t({', '.join(names)})"))  # at most a row a shard
+def _of_node(shards: int, values: dict[int, int], default: int) -> Column:
+    """A number by node, from a literal array with a place for each shard."""
+    return F.get(F.expr("array(" + ", ".join(f"{int(values.get(i, default))}L" for i in range(shards)) + ")"), F.col("node"))
 
 
-def _refine(rows: DataFrame, nodes: list[Node], key: Column, only: Column | None, shard_bytes: float) -> None:
+def _refine(rows: DataFrame, nodes: list[Node], shards: int, key: Column, shard_bytes: float) -> None:
     """Narrow each node's [lo, hi] to the value where its bytes reach the goal."""
-    spark = rows.sparkSession
     while todo := [n for n in nodes if not n.done]:
-        for n in todo:
-            if n.hi <= n.lo:
-                n.done = True
-        todo = [n for n in todo if not n.done]
-        if not todo:
-            break
         steps = {n.first: max(1, -(-(n.hi - n.lo + 1) // BINS)) for n in todo}
-        table = _values(spark, ["node", "t_dim", "t_lo", "t_hi", "t_step", "t_cut"], [(n.first, n.dim, n.lo, n.hi, steps[n.first], n.cut or 0) for n in todo])
-        inside = rows.join(table, "node").withColumn("t_key", key)
-        inside = inside.where((F.col("t_key") >= F.col("t_lo")) & (F.col("t_key") <= F.col("t_hi")))
-        if only is not None:
-            inside = inside.where(only)
-        bins = inside.groupBy("node", F.expr("(t_key - t_lo) div t_step").alias("bin")).agg(F.sum("size").alias("bytes"))
+        lo, hi = (_of_node(shards, {n.first: getattr(n, end) for n in todo}, none) for end, none in (("lo", 1), ("hi", 0)))
+        inside = rows.select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi"), _of_node(shards, steps, 1).alias("step")).where("key >= lo and key <= hi")
+        bins = inside.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("bytes"))
         found: dict[int, list] = {}
         for r in bins.collect():  # at most BINS rows a node
             found.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
@@ -95,22 +85,21 @@ def _refine(rows: DataFrame, nodes: list[Node], key: Column, only: Column | None
             step, total = steps[n.first], n.below
             for b, size in sorted(found.get(n.first, [])):
                 if total + size > n.goal:
-                    n.lo, n.hi = n.lo + b * step, min(n.hi, n.lo + (b + 1) * step - 1)
-                    n.below = total
-                    if size <= FINE * shard_bytes:
-                        n.done = True
-                        n.hi = n.lo
+                    n.lo, n.hi, n.below = n.lo + b * step, min(n.hi, n.lo + (b + 1) * step - 1), total
+                    if step == 1 or size <= FINE * shard_bytes:
+                        n.done, n.at = True, size if step == 1 else 0
                     break
                 total += size
             else:  # nothing passes the goal
-                n.lo, n.below, n.done = n.hi + 1, total, True
+                n.lo, n.below, n.at, n.done = n.hi + 1, total, 0, True
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, dimensions: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     text = F.col(text_col).cast("string")
     dims = dimensions or text_dimensions(text)
+    n_dims = len(dims)
     flat = scratch.save(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + EXTRA_BYTES).cast("long").alias("size"),
@@ -118,7 +107,6 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long")), 12).alias("h"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(dims.values())],
         )
     )
-    n_dims = len(dims)
     span = flat.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[f(f"x{i}").alias(f"{k}{i}") for i in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
     total = span["bytes"] or 0
     shard_bytes = total / shards
@@ -129,47 +117,44 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     # each dimension's step above the text's CRC; last, the CRC alone
     points = [F.shiftleft(level(i), 32).bitwiseOR(F.col("text_crc32")) for i in range(n_dims)] + [F.col("text_crc32")]
-    rows = flat.select("doc_id", "size", "text_crc32", "h", *[p.alias(f"p{i}") for i, p in enumerate(points)], F.lit(0).cast("long").alias("node"))
-    picked = F.expr("case t_dim " + " ".join(f"when {i} then p{i}" for i in range(n_dims + 1)) + " end")
+    names = ["doc_id", "size", "text_crc32", "h", *[f"p{i}" for i in range(n_dims + 1)]]
+    rows = flat.select("doc_id", "size", "text_crc32", "h", *[p.alias(f"p{i}") for i, p in enumerate(points)], F.lit(0).alias("node"))
     nodes = [Node(0, shards)] if total else []
     while nodes := [n for n in nodes if n.shards > 1]:
-        rows = rows.select("doc_id", "size", "text_crc32", "h", *[f"p{i}" for i in range(n_dims + 1)], "node")
-        live = rows.join(_values(spark, ["node"], [(n.first,) for n in nodes]), "node")
-        box = live.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(f"p{i}").alias(f"{k}{i}") for i in range(n_dims + 1) for k, f in (("lo", F.min), ("hi", F.max))])
+        box = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(f"p{i}").alias(f"{k}{i}") for i in range(n_dims + 1) for k, f in (("lo", F.min), ("hi", F.max))])
         boxes = {r["node"]: r for r in box.collect()}  # a row a node
+        nodes = [n for n in nodes if n.first in boxes]
         for n in nodes:
-            r = boxes.get(n.first)
-            if r is None:
-                n.done, n.cut, n.tie = True, 0, 0
-                continue
+            r = boxes[n.first]
             widths = [(r[f"hi{i}"] >> 32) - (r[f"lo{i}"] >> 32) for i in range(n_dims)]
             n.dim = max(range(n_dims), key=lambda i: (widths[i], -i)) if max(widths) else n_dims
             n.lo, n.hi, n.goal = r[f"lo{n.dim}"], r[f"hi{n.dim}"], r["bytes"] * n.left / n.shards
-        _refine(rows, nodes, picked, None, shard_bytes)
-        # the bytes at the cut itself
-        for n in nodes:
-            n.cut = n.lo if n.cut is None else n.cut
-        table = _values(spark, ["node", "t_dim", "t_cut"], [(n.first, n.dim, n.cut) for n in nodes])
-        at = {r["node"]: r["bytes"] for r in rows.join(table, "node").where(picked == F.col("t_cut")).groupBy("node").agg(F.sum("size").alias("bytes")).collect()}
+        dim = _of_node(shards, {n.first: n.dim for n in nodes}, 0).cast("int")
+        key = F.get(F.array(*[F.col(f"p{i}") for i in range(n_dims + 1)]), dim)
+        _refine(rows, nodes, shards, key, shard_bytes)
+        cuts = {n.first: n.lo for n in nodes}
         heavy = []
-        for n in nodes:
-            size, n.tie = at.get(n.first, 0), 0
-            if min(n.goal - n.below, n.below + size - n.goal) > SLACK * shard_bytes:
+        for n in nodes:  # the group at the cut goes to one side, or is split if that costs too much
+            if min(n.goal - n.below, n.below + n.at - n.goal) > SLACK * shard_bytes:
                 n.lo, n.hi, n.done = 0, (1 << 52) - 1, False
                 heavy.append(n)
-            elif n.below + size - n.goal < n.goal - n.below:
+            elif n.at and n.below + n.at - n.goal < n.goal - n.below:
                 n.tie = 1 << 52
-        _refine(rows, heavy, F.col("h"), picked == F.col("t_cut"), shard_bytes)
-        for n in heavy:
-            n.tie = n.lo
-        table = _values(spark, ["node", "t_dim", "t_cut", "t_tie", "t_right"], [(n.first, n.dim, n.cut, n.tie, n.first + n.left) for n in nodes])
-        moved = rows.join(table, "node", "left")
-        right = (picked > F.col("t_cut")) | ((picked == F.col("t_cut")) & (F.col("h") >= F.col("t_tie")))
-        rows = moved.withColumn("node", F.when(right, F.col("t_right")).otherwise(F.col("node")))
+        if heavy:
+            group = _of_node(shards, {n.first: cuts[n.first] for n in heavy}, -1)
+            _refine(rows.where(key == group), heavy, shards, F.col("h"), shard_bytes)
+            for n in heavy:
+                n.tie = n.lo
+        cut, tie = _of_node(shards, cuts, -1), _of_node(shards, {n.first: n.tie for n in nodes}, 0)
+        right = (cut >= 0) & ((key > cut) | ((key == cut) & (F.col("h") >= tie)))
+        after = _of_node(shards, {n.first: n.first + n.left for n in nodes}, 0).cast("int")
+        old, rows = rows, scratch.save(rows.select(*names, F.when(right, after).otherwise(F.col("node")).alias("node")))
+        if hasattr(old, "_scratch"):
+            scratch.drop(old)
         nodes = [x for n in nodes for x in (Node(n.first, n.left), Node(n.first + n.left, n.shards - n.left))]
 
     n_buckets = max(1, -(-span["n"] // (shards * BUCKET_ROWS)))
-    placed = scratch.save(rows.select("doc_id", "size", "text_crc32", "h", F.col("node").cast("int").alias("shard"), F.pmod(F.col("h"), F.lit(n_buckets)).alias("bucket")))
+    placed = scratch.save(rows.select("doc_id", "size", "text_crc32", "h", F.col("node").alias("shard"), F.pmod(F.col("h"), F.lit(n_buckets)).alias("bucket")))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
