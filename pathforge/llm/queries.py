@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, rnnlm, substring_dedup, warc
+from . import bagminhash, binpack, decontam, fst_tokens, htmltext, kdshard, quality, rnnlm, sql, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_substring_dedup": sql.SUBSTRINGS, "op5_decontamination": sql.CONTAINED, "op6_warc_archives": sql.RECORDS}

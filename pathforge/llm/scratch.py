@@ -1,49 +1,5 @@
 """Intermediate tables in the folder that the driver and the executors share."""
 
-from __future__ import annotations
+from ..store import Scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pathforge-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator's run.  A table that the result still reads stays."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/pathforge-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.top}/{self.n}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and read it again: lineage ends here."""
-        path = self.path()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        for df in tables:
-            self.remove(df._scratch)
-
-    def remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["Scratch", "shared_dir"]
