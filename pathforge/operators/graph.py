@@ -65,8 +65,8 @@ def fold(ops: DataFrame) -> DataFrame:
     out = put.join(last, ["src", "dst"]).join(cut, ["src", "dst"], "left")
     for end in ("src", "dst"):
         out = out.join(gone.select(F.col("name").alias(end), F.col("at").alias(f"{end}_at")), end, "left")
-    later = F.greatest(F.coalesce("cut_at", F.lit(-1)), F.coalesce("src_at", F.lit(-1)), F.coalesce("dst_at", F.lit(-1)))
-    return out.where(F.col("put_at") > later).select("src", "dst", *WEIGHTS)
+    later = F.greatest("cut_at", "src_at", "dst_at")  # null if nothing was ever removed
+    return out.where(later.isNull() | (F.col("put_at") > later)).select("src", "dst", *WEIGHTS)
 
 
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -174,8 +174,8 @@ def test_fold_by_sequence(spark):
             "*", *[F.lit(None).cast("long").alias(f"w{i}") for i in range(1, 8)]
         )
     )
-    session = GraphSession(make(spark, "a>b:10")).apply(more)
-    assert sorted((r.src, r.dst, r.w0) for r in session.edges.collect()) == [("a", "x", 400), ("x", "b", 400)]
+    session = GraphSession(make(spark, "a>b:10 c>d:1")).apply(more)
+    assert sorted((r.src, r.dst, r.w0) for r in session.edges.collect()) == [("a", "x", 400), ("c", "d", 100), ("x", "b", 400)]
 
 
 def test_compare(spark):
