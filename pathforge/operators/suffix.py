@@ -28,14 +28,15 @@ def relax(arcs: DataFrame, start: DataFrame, scratch: Scratch, fixed: DataFrame
     """(v, dist): least weight of a way from v to a vertex of ``start`` (v, dist).
 
     ``fixed`` (v, dist) are ends whose distance holds already and is not relaxed."""
-    best = scratch.save(start)
-    front = best if fixed is None else scratch.save(start.unionByName(fixed))
+    rounds = scratch.save(start)  # all distances so far; the least of a vertex holds
+    front = rounds if fixed is None else start.unionByName(fixed)
     for _ in range(MAX_ROUNDS):
+        best = rounds.groupBy("v").agg(F.min("dist").alias("dist"))
         found = arcs.join(front.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v")).agg(F.min(F.col("w") + F.col("dist")).alias("new"))
         front = scratch.save(found.join(best, "v", "left").where("dist is null or new < dist").select("v", F.col("new").alias("dist")))
         if front.isEmpty():
             return best
-        best = scratch.save(best.join(front, "v", "left_anti").unionByName(front))
+        rounds = rounds.unionByName(front)
     raise CycleError("distances still fall: the graph has a cycle")
 
 

@@ -55,7 +55,7 @@ def search(beam: Beam, k: int, scratch: Scratch, per: bool = False, min_points:
             F.concat("slots", F.array("slot")).alias("slots"), F.concat("steps", F.array("w")).alias("steps"),
         )
         both = grown if done is None else grown.unionByName(done)
-        both = scratch.save(_bounded(scratch.save(both), k, per))
+        both = _bounded(scratch.save(both), k, per)  # a filter on what was written
         open_ = both.join(ends, "v", "left_semi")
         done, live, first = both.join(ends, "v", "left_anti"), open_, False
         if live.isEmpty():
