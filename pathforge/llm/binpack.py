@@ -20,12 +20,14 @@ packed like others.  An empty table gives an empty result.  Other columns are no
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +69,56 @@ def slices(text: str, size: int = SLICE) -> list[str]:
     return [*out, text[lo:]]
 
 
-def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Each text's ids and the closing id."""
-    parts = [slices(t) for t in texts]
-    flat = [p for ps in parts for p in ps]
-    found: list[np.ndarray] = []
+#: Fixed value: how the byte-level tokenizer cuts a text into words.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts with other characters go through the library whole, whatever its Unicode tables hold.
+_RARE = re.compile("[^\x00-\u024f]")
+KNOWN_WORDS = 500_000  # words whose ids a worker remembers
+
+
+@lru_cache(1)
+def _known(path: str) -> dict[str, bytes]:
+    return {}
+
+
+def _encode(parts: list[str], path: str) -> list[bytes]:
+    """The library's ids of each part, packed."""
+    out: list[bytes] = []
     lo = 0
-    while lo < len(flat):
+    while lo < len(parts):
         hi, size = lo, 0
-        while hi < len(flat) and (hi == lo or size + len(flat[hi]) <= SLICE):
-            size += len(flat[hi])
+        while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= SLICE):
+            size += len(parts[hi])
             hi += 1
-        found += [np.array(e.ids, "<u4") for e in _tokenizer(path).encode_batch(flat[lo:hi], add_special_tokens=False)]
+        out += [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(parts[lo:hi], add_special_tokens=False)]
         lo = hi
+    return out
+
+
+def _by_words(texts: list[str], path: str) -> list[bytes]:
+    """The same ids, word by word: merges never cross words, so a word is encoded once."""
+    known = _known(path)
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    split = [PATTERN.findall(t) for t in texts]
+    new = list(set().union(*split).difference(known))
+    known.update(zip(new, _encode(new, path), strict=True))
+    return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+
+def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
+    """Each text's ids and the closing id."""
+    special = "<|" if _tokenizer(path).get_added_tokens_decoder() else None
+    whole = [bool(_RARE.search(t)) or bool(special and special in t) for t in texts]
+    parts = [slices(t) for t in texts]
+    flat = [(p, w) for ps, w in zip(parts, whole, strict=True) for p in ps]
+    library = iter(_encode([p for p, w in flat if w], path))
+    words = iter(_by_words([p for p, w in flat if not w], path))
+    packed = [next(library) if w else next(words) for _, w in flat]
+    end = np.array([END_ID], "<u4").tobytes()
     out, at = [], 0
     for ps in parts:
-        out.append(np.concatenate([*found[at : at + len(ps)], np.array([END_ID], "<u4")]))
+        out.append(np.frombuffer(b"".join([*packed[at : at + len(ps)], end]), "<u4"))
         at += len(ps)
     return out
 
@@ -101,7 +137,7 @@ def _pieces(batch: pa.RecordBatch, path: str, capacity: int) -> pa.RecordBatch:
     rows: list[tuple] = []
     lo = 0
     while lo < len(ids):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + 4 * SLICE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + 2 * SLICE, "right")) - 1)
         texts = [plain[a:b].decode() for a, b in zip(edges[lo:hi], edges[lo + 1 : hi + 1], strict=True)]
         for doc, found in zip(ids[lo:hi], token_ids(texts, path), strict=True):
             raw = found.tobytes()
