@@ -37,12 +37,13 @@ from .words import U, chunks, mix64, words_of
 SMOOTH = 0.1
 FOLDS = 10
 HEAD = 1 << 18
-CLASSES, WIDTH = 32, 32
-HIDDEN = 24
+STEPS_PER_OCTAVE = 16
+CLASSES, WIDTH = 16, 64
+HIDDEN = 16
 LANES, STEPS = 256, 32
 RATE = 0.05
 ROUNDS = 2
-CHUNK = 12 << 20
+CHUNK = 20 << 20
 END, OTHER = 0, 1
 END_HASH = -0x5851F42D4C957F2D
 
@@ -346,7 +347,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = scratch.save(counts.groupBy("h").agg(F.sum("n").alias("c")))
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = whole[0] or 0, whole[1]
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()  # at most HEAD rows
+    # the head is every word from a step of frequency on, found by a histogram of fixed size, so
+    # no task sends more than its share of at most HEAD rows
+    step = F.floor(F.log2("c") * STEPS_PER_OCTAVE).cast("int")
+    sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    within = np.cumsum([n for _, n in sizes]) <= HEAD
+    least = sizes[int(within.sum()) - 1][0] if within.any() else 1 << 30
+    top = counts.where(step >= least).toPandas()
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), total, distinct)
 
     flat = Gru.fresh(vocabulary.unigram).flat
