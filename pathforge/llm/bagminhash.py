@@ -203,8 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "root", F.array(*other).alias("near"), F.pmod(other[0], F.ceil(F.col("n") / PART)).alias("part"))
         order = Window.partitionBy("key", "part").orderBy("near", "rep")
         after = F.array(*[F.struct(F.lead("rep", i).over(order).alias("rep"), F.lead("root", i).over(order).alias("root")) for i in range(1, reach + 1)])
-        found = rows.select("rep", "root", F.filter(after, lambda x: x["root"] != F.col("root")).alias("after")).select("rep", F.explode("after").alias("x"))
-        return found.select(F.greatest("rep", "x.rep").alias("a"), F.least("rep", "x.rep").alias("b")).distinct()
+        met = rows.select("rep", F.transform(F.filter(after, lambda x: x["root"] != F.col("root")), lambda x: x["rep"]).alias("after")).where(F.size("after") > 0)
+        # two texts meet in many bands: a text's neighbours (at most BANDS x reach) are made distinct as one array
+        once = met.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")).select("rep", F.explode("after").alias("x"))
+        return once.select(F.greatest("rep", "x").alias("a"), F.least("rep", "x").alias("b")).distinct()
 
     tried = scratch.save(members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("b < a"))
     links = scratch.save(_verified(tried, texts))
