@@ -184,8 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = scratch.save(docs.mapInArrow(lambda batches: map(_sign, batches), SIGNED))
-    copies = scratch.save(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = scratch.save(signed.join(copies, (signed["key"] == copies["key"]) & (signed["doc_id"] == copies["rep"])).groupBy("rep").agg(F.max("bands").alias("bands")))
+    # one aggregation finds each text's least id and that row's bands
+    reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
+    reps = scratch.save(reps.select("key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
+    copies = reps.select("key", "rep")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
     members = scratch.save(banded.join(shared, "h").select("h", "band", "rep", "lead"))
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def neighbours(rows: DataFrame, turn: int, reach: int) -> DataFrame:
         """Pairs of different components that are near in a bucket's order by other bands."""
         other = [F.get(F.col("bands"), F.pmod(F.col("band") + turn * i, F.lit(BANDS)).cast("int")) for i in (1, 2, 3)]
-        rows = rows.join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("key", "rep", "root", F.array(*other).alias("near"), F.pmod(other[0], F.ceil(F.col("n") / PART)).alias("part"))
+        rows = rows.join(reps.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r")).select("key", "rep", "root", F.array(*other).alias("near"), F.pmod(other[0], F.ceil(F.col("n") / PART)).alias("part"))
         order = Window.partitionBy("key", "part").orderBy("near", "rep")
         after = F.array(*[F.struct(F.lead("rep", i).over(order).alias("rep"), F.lead("root", i).over(order).alias("root")) for i in range(1, reach + 1)])
         met = rows.select("rep", F.transform(F.filter(after, lambda x: x["root"] != F.col("root")), lambda x: x["rep"]).alias("after")).where(F.size("after") > 0)
