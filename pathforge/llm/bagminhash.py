@@ -228,7 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its class's least, with all columns; null ids stay."""
+    """The rows of ``docs`` whose id is its class's least, with all columns; null ids stay.  Of
+    rows that repeat an id and a text one stays."""
     classes = near_duplicates(docs, id_col, text_col)
     gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept  # no id repeats, so the texts need no second shuffle
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))
