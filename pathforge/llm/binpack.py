@@ -20,14 +20,16 @@ packed like others.  An empty table gives an empty result.  Other columns are no
 from __future__ import annotations
 
 import math
+import os
 import re
+import unicodedata
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @lru_cache(2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -69,10 +72,24 @@ def slices(text: str, size: int = SLICE) -> list[str]:
     return [*out, text[lo:]]
 
 
-#: Fixed value: how the byte-level tokenizer cuts a text into words.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts with other characters go through the library whole, whatever its Unicode tables hold.
-_RARE = re.compile("[^\x00-\u024f]")
+COMMON = 0x250  # texts with code points from here on go through the library whole
+_RARE = re.compile(f"[^\\x00-{chr(COMMON - 1)}]")
+
+
+def _word_pattern() -> re.Pattern:
+    """How the byte-level tokenizer cuts common texts into words: contractions, then letters,
+    numbers or other visible signs behind at most one space, then white space, of which the last
+    stays with the word that follows.  The classes are spelt out from the Unicode data."""
+
+    def spell(test) -> str:
+        return "".join(re.escape(chr(c)) for c in range(COMMON) if test(chr(c)))
+
+    letter, number = (spell(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
+    white = spell(lambda c: c in "\t\n\x0b\x0c\r \x85\xa0")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+PATTERN = _word_pattern()
 KNOWN_WORDS = 500_000  # words whose ids a worker remembers
 
 
@@ -90,7 +107,7 @@ def _encode(parts: list[str], path: str) -> list[bytes]:
         while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= SLICE):
             size += len(parts[hi])
             hi += 1
-        out += [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch(parts[lo:hi], add_special_tokens=False)]
+        out += [pack(f"<{len(e)}I", *e.ids) for e in _tokenizer(path).encode_batch_fast(parts[lo:hi], add_special_tokens=False)]
         lo = hi
     return out
 
