@@ -14,9 +14,13 @@ that grow with the square of its size, so pairs are never listed bucket by bucke
 text is held against the least id of its buckets, and verified links make components; (2) in
 each bucket that still holds several components, members are put in the order of their
 other bands, which sets the most alike side by side (an LSH forest), and each is held against
-the next ones of other components, in TURNS with other bands and a longer reach.  A bucket
-up to the last reach is compared whole; the work is linear in rows.  Links inside a component
-add nothing and are not looked for.  Each link is verified by the exact multiset overlap.
+the next ones, in TURNS with other bands; (3) the buckets that hold several components even
+then are compared whole: members are dealt by hash to blocks of at most BLOCK texts or
+BLOCK_BYTES, the largest component apart from the others, and each pair of blocks that may
+hold different components meets in one task, which verifies every such pair, a pair of several shared bands in the first of them.  So (1)
+and (2) only save work: every pair that shares a band is verified, or its texts are in one
+component already.  Links inside a component add nothing and are not looked for.  Each link
+is verified by the exact multiset overlap.
 
 Copies: texts with one word sequence are one text, whose id is their least.  A text of one
 to four words has one shingle of all its words.  A text without words (null, empty) is alone.
@@ -39,8 +43,9 @@ from .words import U, chunks, mix64, text_bytes, windows, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 5, 30  # a pair at 0.8 shares no band with probability 7e-6
-TURNS = ((1, 1), (7, 2), (11, 8))  # (step to the other bands, members looked at)
+TURNS = ((1, 1), (7, 2))  # (step to the other bands, members looked at)
 PART = 1024  # members of a bucket that are ordered together
+BLOCK, BLOCK_BYTES = 2048, 8 << 20  # of a bucket's members, in one side of a whole comparison
 MEMBERS_A_TASK = 256  # texts that one task holds against one leader
 _STEP = 0x9E3779B97F4A7C15
 
@@ -178,6 +183,67 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.groupBy("b", "salt").cogroup(leads.groupBy("lead", "part")).applyInArrow(_verify, "a long, b long")
 
 
+def _whole(block: pa.Table) -> pa.Table:
+    """Links between different components among the members (side, band, rep, root, bands, text)
+    of two blocks of a bucket, or of one block (all of side 0).  Once a link is found its two
+    components are one; pairs that share an earlier band are left to that band's bucket."""
+    n, band = block.num_rows, block.column("band")[0].as_py()
+    root = np.unique(block.column("root").to_numpy(), return_inverse=True)[1]
+    bags = _bags(block.column("text"))
+    # a shingle found c times is c elements, so the multiset overlap is a count of common elements
+    sizes = np.array([int(c.sum()) for _, c in bags])
+    value = np.concatenate([np.repeat(v, c) for v, c in bags])
+    copy = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in bags])
+    element = np.unique(mix64(value + copy.astype(U) * U(_STEP)), return_inverse=True)[1]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    side = block.column("side").to_numpy()
+    bands = np.array(block.column("bands").to_pylist(), np.int64)[:, :band]
+    held = np.zeros(int(element.max()) + 1, bool)
+    two = bool(side.any())
+    a, b = [], []
+    for i in np.flatnonzero(side == 0) if two else range(n):
+        near = np.flatnonzero((side == 1 if two else np.arange(n) > i) & (root != root[i]))
+        near = near[np.minimum(sizes[near], sizes[i]) >= THRESHOLD * np.maximum(sizes[near], sizes[i]) - 1e-9]
+        near = near[~(bands[near] == bands[i]).any(axis=1)]
+        if not len(near):
+            continue
+        own = element[at[i] : at[i + 1]]
+        held[own] = True
+        ends = np.cumsum(sizes[near])
+        common = held[element[np.repeat(at[near] - ends + sizes[near], sizes[near]) + np.arange(ends[-1])]]
+        both = np.add.reduceat(common.astype(np.int64), ends - sizes[near])
+        held[own] = False
+        for j in near[both / (sizes[near] + sizes[i] - both) >= THRESHOLD].tolist():
+            if root[j] != root[i]:
+                a.append(i), b.append(j)
+                root[root == root[j]] = root[i]
+    rep = block.column("rep")
+    return pa.table({"a": rep.take(pa.array(a, pa.int64())), "b": rep.take(pa.array(b, pa.int64()))})
+
+
+def _compared_whole(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of every bucket of ``rows`` (key, band, rep, root)."""
+    sized = rows.join(texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").cast("long").alias("size")), "rep")
+    parts = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = F.max(F.struct("n", "size", "root"))  # of the largest component, whose members need not meet each other
+    blocks = parts.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    need = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    one = need(F.col("n"), F.col("size")) == 1
+    blocks = blocks.select(
+        "key", F.when(~one, F.col("main.root")).alias("main"), F.when(one, 0).otherwise(need(F.col("main.n"), F.col("main.size"))).alias("mains"),
+        F.when(one, 1).otherwise(need(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))).alias("others"),
+    )
+    # blocks 0 to others - 1 hold the other components' members, the next ones the main one's
+    in_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    dealt = rows.join(blocks, "key").withColumn("own", F.when(in_main, F.col("others") + spot("mains")).otherwise(spot("others")))
+    last = F.col("others") - 1 + F.when(in_main, 0).otherwise(F.col("mains"))
+    dealt = dealt.select("key", "band", "rep", "root", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "rep", "root")
+    full = dealt.join(reps.select("rep", "bands"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return full.groupBy("key", "i", "j").applyInArrow(_whole, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rep_id, class_id) for each distinct id: the least id with its word sequence, and
     the least id of its class of near copies."""
@@ -212,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tried = scratch.save(members.groupBy(F.col("rep").alias("a")).agg(F.min("lead").alias("b")).where("b < a"))
     links = scratch.save(_verified(tried, texts))
-    roots = components(links, scratch)
+    roots, met = components(links, scratch), 1
     for turn, reach in TURNS:
         rows = scratch.save(apart(roots))
         if rows.isEmpty():
@@ -220,6 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = scratch.save(neighbours(rows, turn, reach).join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
         links = links.union(scratch.save(_verified(pairs, texts)))
+        roots, met = components(links, scratch), reach + 1
+    # a bucket up to the last reach has been compared whole by the last turn
+    rows = scratch.save(apart(roots).where(F.col("n") > met).select("key", "band", "rep", "root"))
+    if not rows.isEmpty():
+        links = links.union(scratch.save(_compared_whole(rows, reps, texts)))
         roots = components(links, scratch)
 
     placed = copies.join(roots, copies["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))

@@ -143,6 +143,22 @@ def test_near_duplicates_match_brute_force(spark):
     assert bagminhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_in_a_family_just_under_the_threshold(spark, monkeypatch):
+    rng = random.Random(17)
+    base = prose(rng, 150, 20_000)
+    rows = []
+    for i in range(250):  # pairs of near copies; texts of different pairs share bands, but rarely overlap enough
+        one = edited(rng, base, 3)
+        rows += [(2 * i, one), (2 * i + 1, edited(rng, one, 3))]
+    rng.shuffle(rows)
+    want = near_classes(rows)
+    assert len({c for _, c in want.values()}) > 100
+    # the order within buckets only saves work: a poorer one finds the same classes
+    monkeypatch.setattr(bagminhash, "TURNS", ((1, 1),))
+    monkeypatch.setattr(bagminhash, "BLOCK", 40, raising=False)
+    assert {r.doc_id: (r.rep_id, r.class_id) for r in bagminhash.near_duplicates(make(spark, rows)).collect()} == want
+
+
 ODD_TEXTS = [
     "", "  ", "I'll don't can't''s 's'sx '' 'll'llx 're'", "a1b22 3.5", "<|endoftext|>hi<|startoftext|> <|endoftext", "ÀÉİΣΑΣ ß éx", "日本語のテキスト, 한국어 🙂🙂!!", "x" * 700,
     "ab" * 900 + " z", "!" * 600, "  \x1c\x1dq\x85r", "١٢٣ ²½Ⅷ", "don’t it's", "'" + "s" * 300, "\x00\x01 ﻿",
