@@ -38,8 +38,8 @@ SMOOTH = 0.1
 FOLDS = 10
 HEAD = 1 << 18
 STEPS_PER_OCTAVE = 16
-CLASSES, WIDTH = 16, 64
-HIDDEN = 16
+CLASSES, WIDTH = 32, 32
+HIDDEN = 24
 LANES, STEPS = 256, 32
 RATE = 0.05
 ROUNDS = 2

@@ -228,6 +228,10 @@ def test_language_model_base_and_distribution(spark):
     assert rnnlm.score_texts(make(spark, rows).limit(0)).count() == 0
 
 
+def test_language_model_is_not_shrunk_to_a_budget():
+    assert rnnlm.HIDDEN >= 24 and (rnnlm.CLASSES, rnnlm.WIDTH) == (32, 32)
+
+
 def test_language_model_gradients_and_carried_state():
     rng = np.random.default_rng(0)
     net = rnnlm.Gru.fresh(np.ones(rnnlm.CLASSES * rnnlm.WIDTH))
