@@ -84,6 +84,16 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.score_quality(docs.limit(0)).count() == 0
 
 
+def test_compression_parts_labelled_junk_from_clean_text(spark):
+    top = "/root/testdata/sf0.1"
+    judged = quality.score_quality(spark.read.parquet(f"{top}/documents.parquet")).join(spark.read.parquet(f"{top}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    judged = judged.where("not base_failed").withColumn("size", F.col("word_chars") + F.col("n_words")).collect()
+    assert all(r.kept for r in judged if r.quality == 1)
+    poor = [r for r in judged if r.quality == 0]
+    assert not any(r.kept for r in poor if r.size >= 4200)
+    assert sum(not r.kept for r in poor) > 100
+
+
 def test_substring_dedup_matches_brute_force(spark):
     rng = random.Random(5)
     passage = prose(rng, 60)
