@@ -2,8 +2,11 @@
 
 Pass 1 parses each page, takes the container that holds its text, and votes with the
 container's generalised path (tags and classes from the root, digits out) for its host; Spark
-counts the votes.  Pass 2 parses each page again and extracts from the container that its
-host's winning paths name, best first; a page without a match uses its own container.
+counts the votes.  Pass 2 parses each page again and extracts from the containers that its
+host's winning paths name, best first, all those of one path together; a page where none of
+them holds text uses its own container.  A page's own container is the smallest that holds
+all elements meant for articles, or else the deepest with SHARE of the text; either grows by
+headings beside it, the latter by paragraphs, lists and quotes beside it too.
 
 Within the container, boilerplate goes: menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, told by element, role or a word of the
@@ -47,8 +50,10 @@ WORDS = frozenset(
     "footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion promoted "
     "related share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl figure table".split())
 SHARE = 0.8  # of a page's text: the deepest container that holds it
-MEANT_SHARE = 0.5  # of a page's text, in an element meant for it
+MEANT_SHARE = 0.5  # of a page's text, in the elements meant for it
 WINNERS = 3
 SMALL_ROWS = 200_000
 SALTS = 32
@@ -184,20 +189,46 @@ class Page:
                 at = self.parent[at]
         if not mass[0]:
             return 0
-        meant = [i for i in range(1, len(mass)) if self.meant[i] and not self.skip[i] and mass[i] >= MEANT_SHARE * mass[0]]
-        if meant:
-            return max(meant, key=lambda i: (mass[i], i))  # of equals the deepest
+        meant = [i for i in range(1, len(mass)) if self.meant[i] and not self.skip[i] and mass[i] > 0]
+        outer = [i for i in meant if not any(self.meant[j] for j in self._above(i))]
+        if outer and sum(mass[i] for i in outer) >= MEANT_SHARE * mass[0]:
+            at = outer[0]
+            while any(i != at and at not in self._above(i) for i in outer):
+                at = self.parent[at]
+            if len(outer) == 1:
+                at = max((i for i in meant if mass[i] == mass[at]), default=at)  # of equals the deepest
+            return self._grown(at, HEADINGS)
         full = [i for i in range(len(mass)) if mass[i] >= SHARE * mass[0] and (i == 0 or self.tag[i] in BLOCKS and self.tag[i] != "p")]
-        return full[-1] if full else 0
+        return self._grown(full[-1], PROSE) if full else 0
 
-    def find(self, paths: list[str]) -> int | None:
+    def _above(self, at: int) -> list[int]:
+        found = []
+        while at > 0:
+            at = self.parent[at]
+            found.append(at)
+        return found
+
+    def _grown(self, at: int, kinds: frozenset[str]) -> int:
+        """The highest container above ``at`` with a child of these kinds that holds unlinked text."""
+        above = self._above(at)
+        inside, best = {at, *above}, at
+        for i, text, linked in self.blocks:
+            while i > 0 and i not in inside:
+                up = self.parent[i]
+                if up in above and linked < len(text) and self.tag[i] in kinds:
+                    best = min(best, up)
+                i = up
+        return best
+
+    def find(self, paths: list[str]) -> list[int]:
+        """The containers with text of the first path that has any."""
         for path in paths:
             last = path.rpartition(">")[2]
             found = [i for i in range(1, len(self.tag)) if self.key[i] == last and not self.skip[i] and self.path(i) == path]
-            if found:
-                held = self._mass(found)
-                return max(found, key=lambda i: (held[i], -i))
-        return None
+            held = self._mass(found)
+            if any(held.values()):
+                return [i for i in found if held[i]]
+        return []
 
     def _mass(self, nodes: list[int]) -> dict[int, int]:
         held = dict.fromkeys(nodes, 0)
@@ -208,12 +239,12 @@ class Page:
                 at = self.parent[at]
         return held
 
-    def text(self, container: int) -> str:
+    def text(self, containers: list[int]) -> str:
         out = []
         for at, text, _ in self.blocks:
-            while at > container:
+            while at > 0 and at not in containers:
                 at = self.parent[at]
-            if at == container:
+            if at in containers:
                 out.append(text)
         return "\n".join(out)
 
@@ -233,8 +264,7 @@ def extract(source: str | None, paths: list[str] | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    at = page.find(paths) if paths else None
-    return page.text(page.best() if at is None else at)
+    return page.text(page.find(paths or []) or [page.best()])
 
 
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:

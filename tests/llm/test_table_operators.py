@@ -62,6 +62,23 @@ def test_main_text(source, want):
     assert htmltext.extract(source, None) == want
 
 
+LONG = "a long text " * 20
+
+
+@pytest.mark.parametrize(
+    ("source", "paths", "want"),
+    [
+        (f"<body><div class=post><h1>T</h1><p>lead</p><div class=body><p>{LONG}</div></div><div class=x>y</div>", None, ["T", "lead", LONG.strip()]),
+        (f"<body><h1>T</h1><article><p>{LONG}</article><div>y</div>", None, ["T", LONG.strip(), "y"]),
+        (f"<body><div><article><p>{LONG}</article><article><p>part two</article></div><div>y</div>", None, [LONG.strip(), "part two"]),
+        ("<body><div class=part><p>one</div><div class=part><p>two</div>", ["body>div.part"], ["one", "two"]),
+        ("<body><div class=part></div><div class=text><p>one</div>", ["body>div.part"], ["one"]),
+    ],
+)
+def test_article_text_beside_the_container_stays(source, paths, want):
+    assert htmltext.extract(source, paths) == "\n".join(want)
+
+
 def test_host_paths_outvote_an_odd_page(spark):
     good = "<body><div class='c12 story'><p>{0}</p></div><div class=extra><p>teaser</p></div></body>"
     odd = "<body><div class='c7 story'><p>short</p></div><div class=extra><p>{0}</p></div></body>".format("a long teaser that holds most of this page " * 4)
