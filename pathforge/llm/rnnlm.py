@@ -27,6 +27,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -353,7 +354,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
     within = np.cumsum([n for _, n in sizes]) <= HEAD
     least = sizes[int(within.sum()) - 1][0] if within.any() else 1 << 30
-    top = counts.where(step >= least).toPandas()
+    top = counts.where((step >= least) | (F.col("h") == END_HASH)).toPandas()  # the end's count is exact whatever its step
+    if len(top) < min(distinct, CLASSES * WIDTH):  # a step is larger than HEAD: the symbols are found for themselves
+        top = pd.concat([top, counts.orderBy(F.desc("c"), "h").limit(CLASSES * WIDTH).toPandas()]).drop_duplicates("h")
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), total, distinct)
 
     flat = Gru.fresh(vocabulary.unigram).flat

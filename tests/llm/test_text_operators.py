@@ -238,6 +238,11 @@ def test_language_model_base_and_distribution(spark):
     assert rnnlm.score_texts(make(spark, rows).limit(0)).count() == 0
 
 
+def test_language_model_counts_with_an_empty_head(spark, monkeypatch):
+    monkeypatch.setattr(rnnlm, "HEAD", 0)  # as if the first step of frequency were larger than it
+    test_language_model_base_and_distribution(spark)
+
+
 def test_language_model_is_not_shrunk_to_a_budget():
     assert rnnlm.HIDDEN >= 24 and (rnnlm.CLASSES, rnnlm.WIDTH) == (32, 32)
 
