@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.slots import scaled, slot_array
 from ..schema import WEIGHTS
-from ..store import Scratch
+from ..store import Scratch, saved
+from .order import first_rows
 
 #: A buffer's halves hold 0.4 of the weight, and removing it gives 2.5 of a half.
 BUFFER_TENTHS, RESTORE_TENTHS = 4, 25
+PEELED = 6  # tables of vertices that a round of peel reads at once
 
 
 class CycleError(ValueError):
@@ -57,18 +61,31 @@ def fold(ops: DataFrame) -> DataFrame:
     """The edges after insert_edge, remove_edge and remove_vertex rows, by their sequence.
 
     An edge lives if its last insertion is later than the last removal of itself and of either
-    end.  Vertices that lose their edges are no longer seen here."""
-    put = upsert(ops.where("op = 'insert_edge'").withColumn("at", F.col("seq")), "at")
-    last = ops.where("op = 'insert_edge'").groupBy("src", "dst").agg(F.max("seq").alias("put_at"))
-    cut = ops.where("op = 'remove_edge'").groupBy("src", "dst").agg(F.max("seq").alias("cut_at"))
-    gone = ops.where("op = 'remove_vertex'").groupBy("name").agg(F.max("seq").alias("at"))
-    out = put.join(last, ["src", "dst"]).join(cut, ["src", "dst"], "left")
+    end.  Vertices that lose their edges are kept by ``fold_vertices``."""
+    edge = ops.where("op in ('insert_edge', 'remove_edge')")
+    put = F.col("op") == "insert_edge"
+    last = edge.groupBy("src", "dst").agg(F.max(F.when(put, F.struct("seq", *WEIGHTS))).alias("last"), F.max(F.when(~put, F.col("seq"))).alias("cut_at"))
+    out = last.where("last is not null and (cut_at is null or last.seq > cut_at)").select("src", "dst", F.col("last.seq").alias("put_at"), *[F.col(f"last.{w}").alias(w) for w in WEIGHTS])
+    gone = _removals(ops)
     for end in ("src", "dst"):
-        out = out.join(gone.select(F.col("name").alias(end), F.col("at").alias(f"{end}_at")), end, "left")
-    later = F.greatest("cut_at", "src_at", "dst_at")  # null if nothing was ever removed
+        out = out.join(gone.select(F.col("name").alias(end), F.col("gone_at").alias(f"{end}_at")), end, "left")
+    later = F.greatest("src_at", "dst_at")  # null if neither was ever removed
     return out.where(later.isNull() | (F.col("put_at") > later)).select("src", "dst", *WEIGHTS)
 
 
+def _removals(ops: DataFrame) -> DataFrame:
+    return ops.where("op = 'remove_vertex'").groupBy("name").agg(F.max("seq").alias("gone_at"))
+
+
+def fold_vertices(ops: DataFrame) -> DataFrame:
+    """(name): the vertices that insert_vertex and insert_edge rows name and that no later
+    remove_vertex takes away, with edges or without."""
+    edge = F.array(F.col("src"), F.col("dst"))
+    named = ops.where("op in ('insert_vertex', 'insert_edge')").select("seq", F.explode(F.when(F.col("op") == "insert_edge", edge).otherwise(F.array("name"))).alias("name"))
+    seen = named.groupBy("name").agg(F.max("seq").alias("at"))
+    return seen.join(_removals(ops), "name", "left").where("gone_at is null or at > gone_at").select("name")
+
+
 def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
@@ -101,15 +118,22 @@ def modify_vertex(edges: DataFrame, at: Column, offset: int) -> DataFrame:
     return edges.select("src", "dst", *[F.when(at, F.col(w) + offset).otherwise(F.col(w)).alias(w) for w in WEIGHTS])
 
 
-def update_percent(edges: DataFrame, percent: float, offset: int) -> DataFrame:
+def first_percent(edges: DataFrame, percent: float, scratch: Scratch) -> DataFrame:
+    """(src, dst) of the first floor(n x percent / 100) edges by (src, dst)."""
+    keys = edges.select("src", "dst")
+    return first_rows(keys, int(keys.count() * percent // 100), ["src", "dst"], scratch)
+
+
+def update_percent(edges: DataFrame, percent: float, offset: int, scratch: Scratch | None = None) -> DataFrame:
     """Add ``offset`` to every weight of the first floor(n x percent / 100) edges by (src, dst).
 
-    The boundary edge is found by a top-n, so nothing is numbered in one task."""
-    n = int(edges.count() * percent // 100)
-    if n == 0:
-        return edges.select("src", "dst", *WEIGHTS)
+    The boundary edge is found among few rows of a distributed order, and compared with."""
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = saved(edges.select("src", "dst", *WEIGHTS), scratch)
     key = F.struct("src", "dst")
-    last = edges.select("src", "dst").orderBy("src", "dst").limit(n).agg(F.max(key).alias("m")).first()["m"]
+    last = first_percent(edges, percent, scratch).agg(F.max(key).alias("m")).first()["m"]
+    if last is None:
+        return edges
     first = key <= F.struct(F.lit(last["src"]).alias("src"), F.lit(last["dst"]).alias("dst"))
     return modify_vertex(edges, first, offset)
 
@@ -121,19 +145,19 @@ def counts(edges: DataFrame) -> DataFrame:
 
 
 def peel(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges that remain when sinks are taken away again and again: those at or above cycles."""
-    left = scratch.save(edges.select("src", "dst"))
-    n = left.count()
-    while n:
-        heads = left.select(F.col("src").alias("dst")).distinct()
-        kept = scratch.save(left.join(heads, "dst", "left_semi").select("src", "dst"))
-        m = kept.count()
-        scratch.drop(left)
-        left = kept
-        if m == n:
-            break
-        n = m
-    return left
+    """Edges that remain when sinks are taken away again and again: those at or above cycles.
+    A round writes the vertices that it takes away."""
+    edges = scratch.save(edges.select("src", "dst").distinct())
+    front, new = scratch.counted(edges.select(F.col("dst").alias("v")).distinct().join(edges.select(F.col("src").alias("v")), "v", "left_anti"))
+    gone = [front]
+    while new:
+        near = edges.join(gone[-1].withColumnRenamed("v", "dst"), "dst", "left_semi").select("src").distinct()
+        ways = edges.join(near, "src", "left_semi")
+        for table in gone:
+            ways = ways.join(table.withColumnRenamed("v", "dst"), "dst", "left_anti")
+        front, new = scratch.counted(near.join(ways.select("src"), "src", "left_anti").select(F.col("src").alias("v")))
+        gone = [*gone, front] if len(gone) < PEELED else [scratch.save(reduce(DataFrame.unionByName, gone)), front]
+    return edges.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("v", "src"), "src", "left_anti").select("src", "dst")
 
 
 def check_acyclic(edges: DataFrame) -> None:

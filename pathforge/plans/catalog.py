@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import slots
 from ..operators import compare, graph, suffix
-from ..schema import WEIGHTS
+from ..schema import OPS, WEIGHTS
 from ..sources import render, tables
 from ..store import Scratch
+from . import deviations
 from .report import top_k_costs, top_k_paths
+from .script import run_ops
 from .session import GraphSession
 
 K = 100
@@ -41,10 +43,10 @@ ORDERS = f"""{_LINES}, g as (
   select src, dst, {_W} from lines where nth = 1)"""
 _ARCS = "arcs as (" + " union all ".join(f"select src, dst, {i} as slot, w{i} as w from g where w{i} is not null" for i in range(8)) + ")"
 _ALL = """p as (
-  select src as v, src as startpoint, cast(0 as bigint) as cost, cast(src as varchar) as path, [src] as verts, [cast(0 as bigint)] as dists
+  select src as v, src as startpoint, cast(0 as bigint) as cost, cast(src as varchar) as path, src || '>' as back, [src] as verts, [cast(0 as bigint)] as dists
   from (select distinct src from g where src not in (select dst from g))
   union all
-  select a.dst, p.startpoint, p.cost + a.w, p.path || '>' || a.slot || ':' || a.dst, list_append(p.verts, a.dst), list_append(p.dists, p.cost + a.w)
+  select a.dst, p.startpoint, p.cost + a.w, p.path || '>' || a.slot || ':' || a.dst, a.dst || '>' || a.slot || ':' || p.back, list_append(p.verts, a.dst), list_append(p.dists, p.cost + a.w)
   from p join arcs a on a.src = p.v),
 paths as (select * from p where v not in (select src from g))"""
 _DIST = """up as (
@@ -212,7 +214,8 @@ def topk_costs(spark, sf_dir):
     return top_k_costs(tables.orders_dag(spark, sf_dir), K)
 
 
-_TOP = f"select row_number() over (order by cost, path) as rank, cost as weight, startpoint, v as endpoint, path, verts, dists from paths order by cost, path limit {K}"
+#: equal costs are ordered by the path's text with an end to every name
+_TOP = f"select row_number() over (order by cost, path || '>') as rank, cost as weight, startpoint, v as endpoint, path, verts, dists from paths order by cost, path || '>' limit {K}"
 
 
 @query(_sql(ORDERS, f"select rank, weight, startpoint, endpoint, path from ({_TOP})", _ARCS, _ALL))
@@ -225,7 +228,7 @@ def path_points(spark, sf_dir):
     return render.path_rows(top_k_paths(tables.orders_dag(spark, sf_dir), K))
 
 
-@query(_sql(ORDERS, "select * from (select v as endpoint, row_number() over (partition by v order by cost, path) as rank, cost as weight, path from paths) where rank <= 2", _ARCS, _ALL))
+@query(_sql(ORDERS, "select * from (select v as endpoint, row_number() over (partition by v order by cost, back) as rank, cost as weight, path from paths) where rank <= 2", _ARCS, _ALL))
 def topk_per_endpoint(spark, sf_dir):
     return top_k_paths(tables.orders_dag(spark, sf_dir), 2, scope="per_endpoint").select("endpoint", "rank", "weight", "path")
 
@@ -255,8 +258,12 @@ def cost_buckets_geometric(spark, sf_dir):
     return _buckets(spark, sf_dir, GEOMETRIC)
 
 
-_TWO = f"""{_BUMPED}, one as (select row_number() over (order by cost) as rank, cost from (select a.w0 + b.w0 as cost from g a join g b on a.dst = b.src) order by cost limit {K}),
-two as (select row_number() over (order by cost) as rank, cost from (select a.w0 + b.w0 as cost from bumped a join bumped b on a.dst = b.src) order by cost limit {K})"""
+def _geo_costs(name: str, table: str) -> str:
+    costs = f"select a.w0 + coalesce(b.w0, 0) as cost from {table} a left join {table} b on a.dst = b.src where a.src like 'r:%'"
+    return f"{name} as (select row_number() over (order by cost) as rank, cost from ({costs}) order by cost limit {K})"
+
+
+_TWO = f"{_BUMPED}, {_geo_costs('one', 'g')}, {_geo_costs('two', 'bumped')}"
 
 
 def _two(spark, sf_dir):
@@ -311,7 +318,10 @@ _EDITED = f"""g as (select src, dst, case when src like 'o:%' then w0 + 7 else w
   where src not in (select 'c:' || c_custkey from customer where c_custkey % 10 = 0) and dst not in (select 'c:' || c_custkey from customer where c_custkey % 10 = 0))"""
 
 
-@query(_sql(ORDERS.replace(", g as (", ", base as ("), f"select rank, weight, path from ({_TOP})", _EDITED, _ARCS, _ALL))
+_BASE = ORDERS.replace(", g as (", ", base as (")
+
+
+@query(_sql(_BASE, f"select rank, weight, path from ({_TOP})", _EDITED, _ARCS, _ALL))
 def incremental_topk(spark, sf_dir):
     session = GraphSession(tables.orders_dag(spark, sf_dir))
     session.distances()
@@ -321,6 +331,92 @@ def incremental_topk(spark, sf_dir):
     return session.report(K).select("rank", "weight", "path")
 
 
+def few_edits(session: GraphSession) -> GraphSession:
+    """Every 500th customer goes, and the lines of every 100th order get dearer."""
+    names = session.vertices().where("name rlike '^c:[0-9]*(000|500)$'")
+    session.remove_vertices(names)
+    lines = session.edges.where("src rlike '^o:[0-9]*00$'")
+    return session.insert_edges(lines.withColumn("w0", F.col("w0") + 7))
+
+
+_FEW = f"""cut as (select 'c:' || c_custkey as name from customer where c_custkey % 500 = 0),
+g as (select src, dst, case when src like 'o:%00' then w0 + 7 else w0 end as w0, {_W.removeprefix("w0, ")} from base where src not in (select name from cut) and dst not in (select name from cut))"""
+
+
+@query(_sql(_BASE, f"select rank, weight, path from ({_TOP})", _FEW, _ARCS, _ALL))
+def incremental_few_edits(spark, sf_dir):
+    session = GraphSession(tables.orders_dag(spark, sf_dir))
+    session.report(K)
+    return few_edits(session).report(K).select("rank", "weight", "path")
+
+
+@query(_sql(ORDERS, f"select row_number() over (order by cost) as rank, cost from (select cost from paths order by cost limit {K})", _ARCS, _ALL))
+def topk_costs_deviations(spark, sf_dir):
+    return top_k_costs(tables.orders_dag(spark, sf_dir), K, strategy="deviations")
+
+
+@query(_sql(ORDERS, f"select row_number() over (order by cost) as rank, cost from (select cost from paths order by cost limit {K})", _ARCS, _ALL))
+def topk_costs_buckets(spark, sf_dir):
+    return top_k_costs(tables.orders_dag(spark, sf_dir), K, strategy="buckets", delta=1000)
+
+
+@query(_sql(ORDERS, "select dist as bound from dists where v not in (select dst from g) order by dist limit 1 offset (select count(*) * 5 // 1000 from dists where v not in (select dst from g))", _ARCS, _DIST))
+def source_cost_bound(spark, sf_dir):
+    edges, scratch = tables.orders_dag(spark, sf_dir), Scratch(spark)
+    found = suffix.suffix_tree(edges, scratch).join(graph.sources(edges).withColumnRenamed("name", "v"), "v", "left_semi")
+    return spark.createDataFrame([(deviations.cost_bound(found),)], "bound long")
+
+
+_SUPPLIERS = "select 's:' || s_suppkey from supplier where s_suppkey % 3 = 0"
+
+
+@query(_sql(GEO, f"""select count(*) as num_verts, (select count(*) from g where src not in (select 'n:' || n_nationkey from nation where n_nationkey % 5 = 0) and dst not in (select 'n:' || n_nationkey from nation where n_nationkey % 5 = 0)) as num_edges
+  from (select src as v from g union select dst from g union select 'new:1' union select 'new:2') where v not in (select 'n:' || n_nationkey from nation where n_nationkey % 5 = 0)"""))
+def vertex_ddl(spark, sf_dir):
+    session = GraphSession(tables.geo(spark, sf_dir)).insert_vertices(spark.createDataFrame([("new:1",), ("new:2",), ("new:1",)], "name string"))
+    session.remove_vertices(spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 5 = 0").select(tables.named("n:", "n_nationkey").alias("name")))
+    return spark.createDataFrame([session.counts()], "num_verts long, num_edges long")
+
+
+_DANGLING = f"""h as (select src, dst, w0 from g where dst not in ({_SUPPLIERS})),
+found as (select a.src || '>0:' || a.dst || coalesce('>0:' || b.dst, '') as path, a.w0 + coalesce(b.w0, 0) as weight from h a left join h b on b.src = a.dst where a.src like 'r:%'
+  union all select 's:' || s_suppkey, 0 from supplier where s_suppkey % 3 = 0)"""
+
+
+@query(_sql(GEO, f"select row_number() over (order by weight, path || '>') as rank, weight, path from found order by weight, path || '>' limit {K}", _DANGLING))
+def dangling_paths(spark, sf_dir):
+    edges = tables.geo(spark, sf_dir)
+    session = GraphSession(edges).remove_edges(edges.where("src like 'n:%' and cast(substr(dst, 3) as long) % 3 = 0"))
+    return session.report(K, min_points=1).select("rank", "weight", "path")
+
+
+@query(_sql(GEO, f"select src, dst, w0 from g where src like 'r:%' union all select src, substr(dst, 3), {_tenths('w0', 25)} from halves where dst like 'b:%'", _HALVES))
+def buffer_across_batches(spark, sf_dir):
+    buffers = _geo_buffers(spark, sf_dir)
+    nil = [F.lit(None).cast("long").alias(w) for w in WEIGHTS]
+    seq = F.monotonically_increasing_id().alias("seq")
+    put = buffers.select(seq, F.lit("insert_buffer").alias("op"), "src", "dst", "name", *nil)
+    cut = buffers.select(seq, F.lit("remove_buffer").alias("op"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), "name", *nil)
+    return GraphSession(tables.geo(spark, sf_dir)).apply(put).apply(cut).edges.select("src", "dst", "w0")
+
+
+_SCRIPT = [f"a{i} as (select w0 from g where src like 'n:%' and cast(substr(dst, 3) as bigint) % 2 < {i})" for i in (1, 2)]
+
+
+@query(_sql(GEO, "select cast(report as bigint) as report, row_number() over (partition by report order by weight) as rank, weight from (" + " union all ".join(f"(select {i} as report, w0 as weight from a{i} order by w0 limit 20)" for i in (1, 2)) + ")", *_SCRIPT))
+def ops_script(spark, sf_dir):
+    """Suppliers' edges go in in two batches, each with a report behind it."""
+    edges = tables.geo(spark, sf_dir).where("src like 'n:%'")
+    late = F.col("dst").substr(3, 30).cast("long") % 2 == 1
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in OPS}
+    rows = edges.select(F.when(late, 10**12).otherwise(0).alias("late"), F.lit("insert_edge").alias("op"), "src", "dst", none["name"], *WEIGHTS, none["k"], none["save"], none["recover"])
+    seq = (F.col("late") + F.monotonically_increasing_id() % 10**11).alias("seq")
+    rows = rows.coalesce(1).select(seq, *[f.name for f in OPS if f.name != "seq"])
+    report = lambda at: spark.range(1).select(F.lit(at).cast("long").alias("seq"), F.lit("report").alias("op"), *[none[f.name] if f.name != "k" else F.lit(20).alias("k") for f in OPS if f.name not in ("seq", "op")])
+    found = run_ops(GraphSession(edges.limit(0)), rows.unionByName(report(10**11)).unionByName(report(2 * 10**12)))
+    return found.select(F.when(F.col("report") == 10**11, 1).otherwise(2).cast("long").alias("report"), "rank", "weight")
+
+
 @query(_sql(ORDERS, "select (select count(*) from (select src from g union select dst from g)) as num_verts, (select count(*) from g) as num_edges, (select count(*) from arcs) as num_arcs", _ARCS))
 def graph_counts(spark, sf_dir):
     return graph.counts(tables.orders_dag(spark, sf_dir))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import upsert
 from ..schema import WEIGHTS
 
 
@@ -37,14 +36,18 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation to customer to order to part; a line's quantity, price, discount and tax are four
-    slots, and of lines with one order and part the last by (line, supplier, price, date) holds."""
+    slots, and of lines with one order and part the last by (line, supplier, price, date) holds.
+    Repeated keys are rare, so rows are dealt by number once and merged where they land, without
+    a partial aggregation, before numbers become names."""
     customers = _table(spark, sf_dir, "customer").select(*_edge(named("n:", "c_nationkey"), named("c:", "c_custkey"), whole(F.col("c_acctbal") * 100)))
-    orders = _table(spark, sf_dir, "orders").select(*_edge(named("c:", "o_custkey"), named("o:", "o_orderkey"), whole(F.col("o_totalprice"))))
-    order = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    lines = _table(spark, sf_dir, "lineitem").select(
-        *_edge(named("o:", "l_orderkey"), named("p:", "l_partkey"), whole(F.col("l_quantity")), whole(F.col("l_extendedprice")), whole(F.col("l_discount") * 100), whole(F.col("l_tax") * 100)), *order
-    )
-    return customers.unionByName(upsert(orders.withColumn("at", F.col("w0")), "at")).unionByName(upsert(lines, *order))
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").repartition("o_custkey", "o_orderkey").groupBy("o_custkey", "o_orderkey").agg(F.max(whole(F.col("o_totalprice"))).alias("w"))
+    orders = orders.select(*_edge(named("c:", "o_custkey"), named("o:", "o_orderkey"), F.col("w")))
+    weights = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    order = F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", *weights).repartition("l_orderkey", "l_partkey")
+    lines = lines.groupBy("l_orderkey", "l_partkey").agg(F.max(order).alias("m")).select("l_orderkey", "l_partkey", *[F.col(f"m.{c}").alias(c) for c in weights])
+    lines = lines.select(*_edge(named("o:", "l_orderkey"), named("p:", "l_partkey"), whole(F.col("l_quantity")), whole(F.col("l_extendedprice")), whole(F.col("l_discount") * 100), whole(F.col("l_tax") * 100)))
+    return customers.unionByName(orders).unionByName(lines)
 
 
 def user_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

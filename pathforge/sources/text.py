@@ -1,21 +1,30 @@
 """Graph text in three dialects, and cost files, as DataFrames.
 
-Lines are numbered in file order by a file's own line numbers: Spark reads a file with one
-partition of rows in order, so the number is taken per file from the row's place; edits depend
-on it.  Weights become whole numbers of 10**-SCALE; ``n/a`` is null."""
+Files are read in splits.  Lines are numbered through all files of a path, by file name and
+place: rows of a split come in order, so a line's number is its split's, which a running sum
+over the splits' counts gives, and its place there.  Edits depend on that number.  Weights
+become whole numbers of 10**-SCALE; ``n/a`` is null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from ..schema import OPS, SCALE, WEIGHTS
+from ..store import Scratch
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) in file order; a file is one record, so order needs no shuffle."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).select("file", F.col("pos").cast("long").alias("seq"), "line")
+    """(file, pos, seq, line): a line's number in its file and through all files.  Lines are not
+    shuffled; a split is one row of the table that numbers them."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim("value", F.lit("\r")).alias("line"))
+    splits = rows.groupBy("file", "block").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    all_, own = Window.orderBy("file", "block"), Window.partitionBy("file").orderBy("block")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", "least", before(all_).alias("before"), before(own).alias("in_file"))
+    placed = rows.join(splits, ["file", "block"]).withColumn("i", F.col("id") - F.col("least"))
+    return placed.select("file", (F.col("in_file") + F.col("i")).alias("pos"), (F.col("before") + F.col("i")).alias("seq"), "line")
 
 
 def weight(token: Column) -> Column:
@@ -58,8 +67,8 @@ def read_quoted(spark: SparkSession, path: str) -> DataFrame:
     """Edits from ``"u" -> "v", w;`` lines behind a count n and n skipped lines.  Only what stands
     in quotes is a name, so names may hold hyphens and weights a sign; other lines are skipped."""
     all_ = lines(spark, path)
-    head = all_.where("seq = 0").select("file", F.btrim("line").try_cast("long").alias("n"))
-    rows = all_.join(F.broadcast(head), "file").where(F.col("seq") > F.col("n")).where(F.col("line").rlike(QUOTED))
+    head = all_.where("pos = 0").select("file", F.btrim("line").try_cast("long").alias("n"))
+    rows = all_.join(head, "file").where(F.col("pos") > F.col("n")).where(F.col("line").rlike(QUOTED))
     part = lambda i: F.regexp_extract("line", QUOTED, i)
     return _inserts(rows, part(1), part(2), [weight(part(3)), *[F.lit(None).cast("long")] * (len(WEIGHTS) - 1)])
 
@@ -72,10 +81,16 @@ def _inserts(rows: DataFrame, src: Column, dst: Column, weights: list[Column]) -
 def read_costs(spark: SparkSession, path: str) -> DataFrame:
     """(rank, cost) of a file with a number a line."""
     rows = lines(spark, path).select("seq", weight(F.btrim("line")).alias("cost")).where("cost is not null")
-    return rows.select((F.col("seq") + 1).alias("rank"), "cost")
+    return numbered(rows, ["seq"], Scratch(spark)).select("rank", "cost")
 
 
 def write_ops(edges: DataFrame, path: str) -> None:
     """Edges as insert_edge lines."""
     tokens = [F.coalesce((F.col(w) / F.lit(10**SCALE)).cast(f"decimal(38,{SCALE})").cast("string"), F.lit("n/a")) for w in WEIGHTS]
     edges.select(F.concat_ws(" ", F.lit("insert_edge"), "src", "dst", *tokens).alias("value")).write.text(path)
+
+
+def write_costs(costs: DataFrame, path: str) -> None:
+    """(rank, cost) as a number a line, in rank order over the files."""
+    text = (F.col("cost") / F.lit(10**SCALE)).cast(f"decimal(38,{SCALE})").cast("string")
+    costs.repartitionByRange("rank").sortWithinPartitions("rank").select(text.alias("value")).write.text(path)

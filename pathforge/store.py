@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/pathforge-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: set[str] = set()
 
     def path(self) -> str:
         self.n += 1
@@ -36,6 +38,20 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
+        self.kept.add(path)
+        return out
+
+    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """``save`` and the number of rows (where ``what`` holds), counted as they are written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")))
+        return out, seen.get["n"]
+
+    def finish(self, df: DataFrame, *others: DataFrame) -> DataFrame:
+        """Save ``df`` and delete all other tables of this run but ``others``."""
+        out = self.save(df)
+        for path in self.kept - {out._scratch, *(x._scratch for x in others)}:
+            self.remove(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -46,3 +62,9 @@ class Scratch:
     def remove(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept.discard(path)
+
+
+def saved(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` itself if it is a saved table, else a saved copy."""
+    return df if hasattr(df, "_scratch") else scratch.save(df)

@@ -12,6 +12,7 @@ def spark():
         SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
+        .config("spark.sql.adaptive.enabled", "false")  # tables of a few rows
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
