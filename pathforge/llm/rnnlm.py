@@ -12,13 +12,17 @@ for all other words, and predicts through a class-factored softmax: the class, t
 within it.  An other word has the symbol's probability times its share of the other words'
 smoothed counts, so the model is a distribution over all texts.  Training is truncated
 backpropagation over windows of ``STEPS`` tokens; a lane's state passes from window to window
-and is cleared where a document begins, so documents of any length are read as a whole.  In
-each of ``ROUNDS`` rounds every partition trains a replica on its share of the round's
-documents, each document in one round, and Spark averages the replicas by tokens.
-
-Scoring runs lanes of documents in lockstep, long ones as a whole, and sums log10
-probabilities.  Null text: empty, so one token.  Repeated rows are scored, and learnt from,
-each.  An empty table gives an empty result.  Other columns are not read.
+and is cleared where a document begins.  Documents are dealt by hash to one of ``ROUNDS``
+rounds and to one of its replicas of about ``REPLICA_TOKENS`` tokens, whose number follows
+from the training tokens and not from partitions.  Each replica trains on its documents in
+the order of their hashes, and Spark averages a round's replicas by tokens, so one table gives
+one model however it is partitioned.  Documents of more than ``PIECE`` tokens are learnt in
+pieces.
+
+Scoring runs lanes of documents in lockstep, each document whole, and sums log10
+probabilities; memory follows the tokens of a chunk, whatever a document's length.  Null text:
+empty, so one token.  Repeated rows are scored, and learnt from, each.  An empty table gives
+an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ STEPS_PER_OCTAVE = 16
 CLASSES, WIDTH = 32, 32
 HIDDEN = 24
 LANES, STEPS = 256, 32
+PIECE = 8192  # tokens of a document that are learnt in one run
+REPLICA_TOKENS = 4_000_000
 RATE = 0.05
 ROUNDS = 2
 CHUNK = 20 << 20
@@ -91,22 +96,52 @@ class Vocabulary:
         self.unigram[OTHER] = max(total - known.sum(), 0)
         if none:
             self.unigram[END] = 0
-        self.end_count = 0 if none else int(hashes.size and counts[hashes == END_HASH][0])
+        self.table, self.shift = _table(self.hashes)
+        known_at = np.flatnonzero(self.symbols != OTHER)
+        self.few, self.few_symbols = self.hashes[known_at], self.symbols[known_at]
+        self.few_table, self.few_shift = _table(self.few)
 
     def find(self, tokens_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head or -1, symbol) of each token."""
-        if not len(self.hashes):
-            return np.full(len(tokens_), -1), np.where(tokens_ == END_HASH, END, OTHER)
-        at = np.searchsorted(self.hashes, tokens_)
-        at[at == len(self.hashes)] = 0
-        hit = self.hashes[at] == tokens_
-        symbol = np.where(hit, self.symbols[at], OTHER)
+        place = _find(self.hashes, self.table, self.shift, tokens_)
+        symbol = np.append(self.symbols, OTHER)[place]
         symbol[tokens_ == END_HASH] = END
-        return np.where(hit, at, -1), symbol
-
+        return place, symbol
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    def symbols_of(self, tokens_: np.ndarray) -> np.ndarray:
+        """The symbol of each token."""
+        symbol = np.append(self.few_symbols, OTHER)[_find(self.few, self.few_table, self.few_shift, tokens_)]
+        symbol[tokens_ == END_HASH] = END
+        return symbol
+
+
+def _table(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Slots of a table of at least four times as many, each the place of a hash or -1; a hash
+    is in the first free slot from that of its high bits on."""
+    bits = max(4, int(4 * len(hashes)).bit_length())
+    table = np.full(1 << bits, -1, np.int32)
+    slot, todo = hashes.view(U) >> U(64 - bits), np.arange(len(hashes), dtype=np.int32)
+    slot = slot.astype(np.int64)
+    while len(todo):
+        free = table[slot[todo]] < 0
+        table[slot[todo[free]]] = todo[free]  # of several one stays
+        todo = todo[table[slot[todo]] != todo]
+        slot[todo] = (slot[todo] + 1) & ((1 << bits) - 1)
+    return table, 64 - bits
+
+
+def _find(hashes: np.ndarray, table: np.ndarray, shift: int, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted hash, or -1."""
+    slot = (wanted.view(U) >> U(shift)).astype(np.int64)
+    place = table[slot]
+    todo = np.flatnonzero(place >= 0)
+    todo = todo[hashes[place[todo]] != wanted[todo]]
+    while len(todo):  # on from slots that other hashes hold
+        slot[todo] = (slot[todo] + 1) & (len(table) - 1)
+        place[todo] = table[slot[todo]]
+        todo = todo[place[todo] >= 0]
+        todo = todo[hashes[place[todo]] != wanted[todo]]
+    return place
 
 
 class Gru:
@@ -136,92 +171,114 @@ class Gru:
         return net
 
     def steps(self, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step, from input symbols (steps x lanes); h is the state before."""
+        """States after each step (steps x HIDDEN x lanes), from input symbols (steps x lanes); h
+        is the state before.  Lanes lie side by side, so every operation runs along memory."""
         n = HIDDEN
-        out = np.empty((*symbols.shape, n), np.float32)
-        for t in range(len(symbols)):
-            h = h * ~fresh[t][:, None]
-            x, a = self.x[symbols[t]], h @ self.u
-            gate = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-            r, z = gate[:, :n], gate[:, n:]
-            c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-            new = c + z * (h - c)
+        out = np.empty((len(symbols), n, symbols.shape[1]), np.float32)
+        x_all, u, starts = np.ascontiguousarray(self.x[symbols].transpose(0, 2, 1)), np.ascontiguousarray(self.u.T), fresh.any(axis=1)
+        for t, x in enumerate(x_all):
+            if starts[t]:
+                h = h * ~fresh[t]
+            a = u @ h
+            gate, c = x[: 2 * n], x[2 * n :]
+            gate += a[: 2 * n]
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            r, z, a = gate[:n], gate[n:], a[2 * n :]
+            c += r * a
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
             if keep is not None:
-                keep.append((h, r, z, c, a[:, 2 * n :]))
-            out[t] = h = new
+                keep.append((h, r, z, c, a))
+            h = new
         return out
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probabilities of flat targets; with ``grads``, adds the loss's gradients
-        (summed over tokens) and returns that of the states."""
-        cls, word = targets % CLASSES, targets // CLASSES
-        rows = np.arange(len(targets))
-        logit = states @ self.wc + self.bc
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
-        out = logit[rows, cls] - np.log(total)
-        d_states = None
-        if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["wc"] += states.T @ e
-            grads["bc"] += e.sum(axis=0)
-            d_states = e @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if not len(at):
-                continue
-            s, w, i = states[at], word[at], rows[: len(at)]
-            logit = s @ self.ww[c] + self.bw[c]
-            logit -= logit.max(axis=1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(axis=1)
-            out[at] += logit[i, w] - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[i, w] -= 1
-                grads["ww"][c] += s.T @ e
-                grads["bw"][c] += e.sum(axis=0)
-                d_states[at] += e @ self.ww[c].T
-        return out, d_states
+        """Natural log probabilities of flat targets, from their states (tokens x HIDDEN); with
+        ``grads``, adds the loss's gradients (summed over tokens) and returns that of the states."""
+        cls, word = (targets % CLASSES).astype(np.uint8), targets // CLASSES
+        order = np.argsort(cls, kind="stable")  # tokens of a class side by side
+        states, cls, word = states[order], cls[order], word[order]
+        found, d_states = self._softmax(states, cls, self.wc, self.bc, grads and (grads["wc"], grads["bc"]))
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for c, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if lo < hi:
+                here, d = self._softmax(states[lo:hi], word[lo:hi], self.ww[c], self.bw[c], grads and (grads["ww"][c], grads["bw"][c]))
+                found[lo:hi] += here
+                if grads:
+                    d_states[lo:hi] += d
+        out = np.empty_like(found)
+        out[order] = found
+        if not grads:
+            return out, None
+        d_out = np.empty_like(d_states)
+        d_out[order] = d_states
+        return out, d_out
+
+    @staticmethod
+    def _softmax(states, target, weights, bias, grads) -> tuple[np.ndarray, np.ndarray | None]:
+        e = weights.T @ states.T
+        e += bias[:, None]
+        e -= e.max(axis=0)
+        at = np.arange(len(target))
+        found = e[target, at]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        found -= np.log(total)
+        if not grads:
+            return found, None
+        e /= total
+        e[target, at] -= 1
+        grads[0][...] += (e @ states).T
+        grads[1][...] += e.sum(axis=1)
+        return found, e.T @ weights.T
 
 
 class Lanes:
-    """Documents dealt to lanes, long ones first; lanes are ordered by falling load."""
+    """Documents dealt to lanes, long ones first; lanes are ordered by falling load.  A lane's
+    tokens lie side by side, and a window is gathered when it is read, so memory follows the
+    tokens however long a document is."""
 
     def __init__(self, symbols: np.ndarray, at: np.ndarray, lanes: int = LANES):
         sizes = np.diff(at)
         heap = [(0, i) for i in range(min(lanes, max(1, len(sizes))))]
-        place = np.empty((len(sizes), 2), np.int64)
-        for d in np.argsort(-sizes, kind="stable").tolist():
-            load, lane = heapq.heappop(heap)
-            place[d] = load, lane
-            heapq.heappush(heap, (load + int(sizes[d]), lane))
+        lane_of = np.empty(len(sizes), np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        for d, size in zip(order.tolist(), sizes[order].tolist(), strict=True):
+            load, lane = heap[0]
+            lane_of[d] = lane
+            heapq.heapreplace(heap, (load + size, lane))
         loads = np.zeros(len(heap), np.int64)
         for load, lane in heap:
             loads[lane] = load
-        order = np.argsort(-loads, kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
-        self.loads = loads[order]
-        self.steps = int(self.loads[0])
-        within = np.arange(len(symbols)) - np.repeat(at[:-1], sizes)
-        self.row = np.repeat(place[:, 0], sizes) + within
-        self.lane = np.repeat(number[place[:, 1]], sizes)
-        self.target = np.full((self.steps, len(order)), -1, np.int32)
-        self.target[self.row, self.lane] = symbols
-        self.fresh = np.zeros(self.target.shape, bool)
-        self.fresh[place[sizes > 0, 0], number[place[sizes > 0, 1]]] = True
-        self.input = np.full_like(self.target, END)
-        self.input[1:] = np.maximum(self.target[:-1], 0)
+        rank = np.argsort(-loads, kind="stable")
+        number = np.empty(len(rank), np.int64)
+        number[rank] = np.arange(len(rank))
+        self.loads = loads[rank]
+        self.begin = np.cumsum(self.loads) - self.loads
+        docs = order[np.argsort(number[lane_of[order]], kind="stable")]  # lane by lane, as they were dealt
+        size = sizes[docs]
+        first = np.cumsum(size) - size
+        self.place = np.repeat(at[:-1][docs] - first, size) + np.arange(len(symbols))  # of each lane token among the symbols
+        self.target = symbols[self.place].astype(np.int32)
+        self.fresh = np.zeros(len(symbols), bool)
+        self.fresh[first[size > 0]] = True
+        self.input = np.empty_like(self.target)
+        self.input[1:] = self.target[:-1]
         self.input[self.fresh] = END
 
-    def windows(self) -> Iterator[tuple[slice, int]]:
-        for t in range(0, self.steps, STEPS):
-            yield slice(t, min(t + STEPS, self.steps)), int((self.loads > t).sum())
+    def windows(self, steps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(lanes that go on, places, which of them are tokens), places being steps x lanes."""
+        for t in range(0, int(self.loads[0]) if len(self.loads) else 0, steps):
+            live = int((self.loads > t).sum())
+            row = np.arange(t, min(t + steps, int(self.loads[0])))[:, None]
+            real = row < self.loads[:live]
+            yield live, np.where(real, self.begin[:live] + row, 0), real
 
 
 class Trainer:
@@ -232,40 +289,58 @@ class Trainer:
         self.square = np.full(Gru.SIZE, 1e-8, np.float32)
 
     def learn(self, symbols: np.ndarray, at: np.ndarray) -> None:
+        """One pass.  A document of more than PIECE tokens is learnt in pieces, so that no lane is
+        left alone; scoring reads it whole."""
+        cuts = -(-np.diff(at) // PIECE)
+        if (cuts > 1).any():
+            piece = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            at = np.append(np.repeat(at[:-1], cuts) + piece * PIECE, at[-1])
         lanes = Lanes(symbols, at)
-        h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
-        for rows, live in lanes.windows():
-            h[:live] = self._window(lanes.input[rows, :live], lanes.target[rows, :live], lanes.fresh[rows, :live], h[:live])
+        h = np.zeros((HIDDEN, len(lanes.loads)), np.float32)
+        for live, place, real in lanes.windows(STEPS):
+            h = self._window(lanes.input[place], lanes.target[place], lanes.fresh[place] & real, real, h[:, :live])
         self.seen += len(symbols)
 
-    def _window(self, inputs, targets, fresh, h) -> np.ndarray:
+    def _window(self, inputs, targets, fresh, real, h) -> np.ndarray:
         net, n = self.net, HIDDEN
         kept: list = []
         states = net.steps(inputs, fresh, h, kept)
         flat = np.zeros(Gru.SIZE, np.float32)
         grads = Gru(flat)
         g = {k: getattr(grads, k) for k in Gru.SHAPES}
-        real = targets >= 0
-        _, d_real = net.log_probs(states[real], targets[real].astype(np.int64), g)
-        d_states = np.zeros_like(states)
+        starts = fresh.any(axis=1)
+        _, d_real = net.log_probs(states.transpose(0, 2, 1)[real], targets[real].astype(np.int64), g)
+        d_states = np.zeros((*inputs.shape, n), np.float32)
         d_states[real] = d_real
-        d_x = np.empty((*inputs.shape, 3 * n), np.float32)
+        d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        d_x = np.empty((len(inputs), 3 * n, inputs.shape[1]), np.float32)
+        d_a = np.empty((3 * n, inputs.shape[1]), np.float32)
         d_h = np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
             before, r, z, c, a = kept[t]
-            d = d_states[t] + d_h
-            d_c = d * (1 - z) * (1 - c * c)
-            d_r = d_c * a * r * (1 - r)
-            d_z = d * (before - c) * z * (1 - z)
-            d_a = np.concatenate([d_r, d_z, d_c * r], axis=1)
-            d_x[t, :, : 2 * n] = d_a[:, : 2 * n]
-            d_x[t, :, 2 * n :] = d_c
-            g["u"] += before.T @ d_a
-            d_h = (d * z + d_a @ net.u.T) * ~fresh[t][:, None]
-        ids = inputs[real]
-        order = np.argsort(ids, kind="stable")
-        runs = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
-        g["x"][ids[order][runs]] += np.add.reduceat(d_x[real][order], runs, axis=0)
+            d = d_states[t]
+            d += d_h
+            rest = 1 - z
+            d_r, d_z, d_c = d_x[t, :n], d_x[t, n : 2 * n], d_x[t, 2 * n :]
+            np.multiply(d, rest, out=d_c)
+            d_c *= 1 - c * c
+            np.multiply(d_c, r, out=d_a[2 * n :])
+            np.multiply(d_a[2 * n :], a, out=d_r)
+            d_r *= 1 - r
+            np.subtract(before, c, out=d_z)
+            d_z *= d
+            d_z *= z
+            d_z *= rest
+            d_a[: 2 * n] = d_x[t, : 2 * n]
+            g["u"] += before @ d_a.T
+            d *= z
+            d_h = net.u @ d_a
+            d_h += d
+            if starts[t]:
+                d_h *= ~fresh[t]
+        ids = inputs.ravel()  # where there is no token the gradient is 0
+        for j in range(3 * n):
+            g["x"][:, j] += np.bincount(ids, d_x[:, j].ravel(), CLASSES * WIDTH)
         flat /= max(int(real.sum()), 1)
         self.square += flat * flat
         net.flat -= RATE * flat / np.sqrt(self.square)
@@ -275,17 +350,14 @@ class Trainer:
 def score_lanes(net: Gru, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of every symbol in its document."""
     lanes = Lanes(symbols, at)
-    found = np.zeros(lanes.target.shape, np.float32)
-    h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
-    for rows, live in lanes.windows():
-        states = net.steps(lanes.input[rows, :live], lanes.fresh[rows, :live], h[:live])
-        h[:live] = states[-1]
-        target = lanes.target[rows, :live]
-        real = target >= 0
-        part = np.zeros(target.shape, np.float32)
-        part[real] = net.log_probs(states[real], target[real].astype(np.int64))[0]
-        found[rows, :live] = part
-    return found[lanes.row, lanes.lane].astype(np.float64) / np.log(10)
+    found = np.empty(len(symbols), np.float32)
+    h = np.zeros((HIDDEN, len(lanes.loads)), np.float32)
+    for live, place, real in lanes.windows(STEPS):
+        states = net.steps(lanes.input[place], lanes.fresh[place] & real, h[:, :live])
+        h = states[-1]
+        at_real = place[real]
+        found[lanes.place[at_real]] = net.log_probs(states.transpose(0, 2, 1)[real], lanes.target[at_real].astype(np.int64))[0]
+    return found.astype(np.float64) / np.log(10)
 
 
 def _count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -294,17 +366,22 @@ def _count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
-def _train(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+REPLICA = "i int, w double, n long"
+
+
+def _train(vocabulary: Vocabulary, flat: np.ndarray):
+    return lambda group: _replica(group, vocabulary, flat)
+
+
+def _replica(group: pa.Table, vocabulary: Vocabulary, flat: np.ndarray) -> pa.Table:
+    """The parameters of one replica, times the tokens it learnt from.  Its documents (key,
+    text) are read by key, so that their order does not depend on how they came."""
     trainer = Trainer(Gru(flat.copy()))
-    for batch in batches:
-        for _, _, data, offsets in chunks(batch.column(0), CHUNK):
-            found, at = tokens(data, offsets)
-            trainer.learn(vocabulary.find(found)[1], at)
-    if trainer.seen:
-        n = Gru.SIZE
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n, dtype=np.int32)), pa.array(trainer.net.flat.astype(np.float64) * trainer.seen), pa.array(np.full(n, trainer.seen, np.int64))], names=["i", "w", "n"]
-        )
+    for _, _, data, offsets in chunks(group.sort_by("key").column("text"), CHUNK):
+        found, at = tokens(data, offsets)
+        trainer.learn(vocabulary.symbols_of(found), at)
+    n = Gru.SIZE
+    return pa.table({"i": pa.array(np.arange(n, dtype=np.int32)), "w": pa.array(trainer.net.flat.astype(np.float64) * trainer.seen), "n": pa.array(np.full(n, trainer.seen, np.int64))})
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, rest array<long>"
@@ -349,21 +426,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = whole[0] or 0, whole[1]
     # the head is every word from a step of frequency on, found by a histogram of fixed size, so
-    # no task sends more than its share of at most HEAD rows
+    # no task sends more than its share of at most HEAD rows; the symbols are always among it
     step = F.floor(F.log2("c") * STEPS_PER_OCTAVE).cast("int")
     sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    within = np.cumsum([n for _, n in sizes]) <= HEAD
-    least = sizes[int(within.sum()) - 1][0] if within.any() else 1 << 30
-    top = counts.where((step >= least) | (F.col("h") == END_HASH)).toPandas()  # the end's count is exact whatever its step
-    if len(top) < min(distinct, CLASSES * WIDTH):  # a step is larger than HEAD: the symbols are found for themselves
-        top = pd.concat([top, counts.orderBy(F.desc("c"), "h").limit(CLASSES * WIDTH).toPandas()]).drop_duplicates("h")
+    within = int((np.cumsum([n for _, n in sizes]) <= HEAD).sum())
+    symbols = counts.orderBy(F.desc("c"), "h").limit(CLASSES * WIDTH)
+    top = counts.where((F.col("h") == END_HASH) | ((step >= sizes[within - 1][0]) if within else F.lit(False))).unionByName(symbols).toPandas().drop_duplicates("h")
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), total, distinct)
 
     flat = Gru.fresh(vocabulary.unigram).flat
+    replicas = max(1, -(-total // (REPLICA_TOKENS * rounds)))
+    keyed = learnt.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     for r in range(rounds):
-        share = learnt.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
-        replicas = share.mapInArrow(lambda batches, flat=flat: _train(batches, vocabulary, flat), "i int, w double, n long")
-        mean = replicas.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # a row a parameter
+        share = keyed.where(F.pmod("key", F.lit(rounds)) == r).withColumn("replica", F.pmod(F.floor(F.col("key") / rounds), F.lit(replicas)))
+        parts = share.groupBy("replica").applyInArrow(_train(vocabulary, flat), REPLICA)
+        mean = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # a row a parameter
         if len(mean):
             flat = np.empty(Gru.SIZE, np.float32)
             flat[mean["i"].to_numpy()] = mean["w"].to_numpy()

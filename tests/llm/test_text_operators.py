@@ -247,18 +247,89 @@ def test_language_model_is_not_shrunk_to_a_budget():
     assert rnnlm.HIDDEN >= 24 and (rnnlm.CLASSES, rnnlm.WIDTH) == (32, 32)
 
 
+def scalar_scores(net, symbols):
+    """log10 probabilities of one document's symbols, with plain numbers."""
+    n, classes, width = rnnlm.HIDDEN, rnnlm.CLASSES, rnnlm.WIDTH
+    x, u, wc, ww = (getattr(net, k).astype(float).tolist() for k in ("x", "u", "wc", "ww"))
+    bc, bw = net.bc.astype(float).tolist(), net.bw.astype(float).tolist()
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def softmax(logits, target):
+        top = max(logits)
+        return logits[target] - top - math.log(sum(math.exp(v - top) for v in logits))
+
+    h, before, out = [0.0] * n, rnnlm.END, []
+    for s in symbols:
+        a = [sum(h[i] * u[i][j] for i in range(n)) for j in range(3 * n)]
+        r = [sigmoid(x[before][j] + a[j]) for j in range(n)]
+        z = [sigmoid(x[before][n + j] + a[n + j]) for j in range(n)]
+        c = [math.tanh(x[before][2 * n + j] + r[j] * a[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+        k, w = s % classes, s // classes
+        p = softmax([sum(h[i] * wc[i][j] for i in range(n)) + bc[j] for j in range(classes)], k)
+        p += softmax([sum(h[i] * ww[k][i][j] for i in range(n)) + bw[k][j] for j in range(width)], w)
+        out.append(p / math.log(10))
+        before = s
+    return out
+
+
+def test_language_model_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    net = rnnlm.Gru.fresh(np.ones(rnnlm.CLASSES * rnnlm.WIDTH))
+    symbols = rng.integers(0, 40, 12)
+    at, seen = np.array([0, 7, 12]), {}
+    trainer = rnnlm.Trainer(rnnlm.Gru(net.flat.copy()))
+    trainer.square = np.zeros(rnnlm.Gru.SIZE, np.float32)
+    trainer.learn(symbols, at)
+    grad = np.sqrt(trainer.square)  # of one window, without its sign
+    loss = lambda flat: -rnnlm.score_lanes(rnnlm.Gru(flat), symbols, at).mean() * math.log(10)
+    for i in np.argsort(-grad)[[0, 3, 10, 30, 100, 200]]:
+        up, down = net.flat.astype(np.float32).copy(), net.flat.astype(np.float32).copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        seen[i] = (loss(up) - loss(down)) / 2e-2
+        assert abs(seen[i]) == pytest.approx(grad[i], rel=0.02, abs=2e-4)
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(rnnlm, "REPLICA_TOKENS", 2_000)
+    rng = random.Random(5)
+    df = make(spark, [(i, prose(rng, 60)) for i in range(200)])
+    one, other = ({r.doc_id: r.score for r in rnnlm.score_texts(d).collect()} for d in (df, df.repartition(5)))
+    assert one == pytest.approx(other, abs=1e-6)
+
+
+def test_language_model_reads_a_long_document_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [prose(rng, 300_000)] + [prose(rng, 5) for _ in range(255)]
+    data, offsets = text_bytes(pa.array(texts))
+    found, at = rnnlm.tokens(data, offsets)
+    value, count = np.unique(found, return_counts=True)
+    vocabulary = rnnlm.Vocabulary(value, count, len(found), len(value))
+    net = rnnlm.Gru.fresh(vocabulary.unigram)
+    tracemalloc.start()
+    scores = rnnlm.score_lanes(net, vocabulary.symbols_of(found), at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == at[-1] and peak < 100 * len(found)
+    alone = rnnlm.score_lanes(net, vocabulary.symbols_of(found[at[1] : at[2]]), np.array([0, at[2] - at[1]]))
+    assert np.allclose(scores[at[1] : at[2]], alone, atol=1e-4)
+
+
 def test_language_model_gradients_and_carried_state():
     rng = np.random.default_rng(0)
     net = rnnlm.Gru.fresh(np.ones(rnnlm.CLASSES * rnnlm.WIDTH))
     symbols = rng.integers(0, rnnlm.CLASSES * rnnlm.WIDTH, 300)
     at = np.array([0, 250, 300])
     whole = rnnlm.score_lanes(net, symbols, at)
-    # one document alone, step by step, gives the same: state crosses windows and not documents
-    states = net.steps(np.concatenate([[rnnlm.END], symbols[:249]])[:, None], np.arange(250)[:, None] == 0, np.zeros((1, rnnlm.HIDDEN), np.float32))
-    alone = net.log_probs(states[:, 0], symbols[:250])[0] / np.log(10)
-    assert np.allclose(whole[:250], alone, atol=1e-4)
+    # one document alone, number by number, gives the same: state crosses windows and not documents
+    assert np.allclose(whole[:250], scalar_scores(net, symbols[:250].tolist()), atol=1e-4)
+    assert np.allclose(whole[250:], scalar_scores(net, symbols[250:].tolist()), atol=1e-4)
+    state = net.steps(symbols[:1][:, None], np.ones((1, 1), bool), np.zeros((rnnlm.HIDDEN, 1), np.float32))[0, :, 0]
     every = np.arange(rnnlm.CLASSES * rnnlm.WIDTH)
-    total = np.exp(net.log_probs(np.repeat(states[7], len(every), axis=0), every)[0].astype(np.float64)).sum()
+    total = np.exp(net.log_probs(np.repeat(state[None], len(every), axis=0), every)[0].astype(np.float64)).sum()
     assert total == pytest.approx(1, abs=1e-4)
     trainer = rnnlm.Trainer(rnnlm.Gru(net.flat.copy()))
     for _ in range(6):
