@@ -438,7 +438,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replicas = max(1, -(-total // (REPLICA_TOKENS * rounds)))
     keyed = learnt.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     for r in range(rounds):
-        share = keyed.where(F.pmod("key", F.lit(rounds)) == r).withColumn("replica", F.pmod(F.floor(F.col("key") / rounds), F.lit(replicas)))
+        share = keyed.where(F.pmod("key", F.lit(rounds)) == r).withColumn("replica", F.pmod(F.xxhash64("key"), F.lit(replicas)))
         parts = share.groupBy("replica").applyInArrow(_train(vocabulary, flat), REPLICA)
         mean = parts.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # a row a parameter
         if len(mean):
