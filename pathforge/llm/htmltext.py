@@ -10,7 +10,8 @@ headings beside it, the latter by paragraphs, lists and quotes beside it too.
 
 Within the container, boilerplate goes: menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, told by element, role or a word of the
-class or id.  The rest stays whole.  Block elements part the text into blocks; references are
+class or id; within an article a class or id counts only if all its words may, so
+"notice-of-award" stays there.  The rest stays whole.  Block elements part the text into blocks; references are
 decoded, white space within a block becomes one space, and blocks are joined by a line feed.
 
 Null or empty html: empty text.  Null or odd url: no host, the page stands alone.  Rows are
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,6 +53,16 @@ WORDS = frozenset(
     "footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion promoted "
     "related share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words that stand beside them in a class or id; within an article only names made of both count.
+BESIDE = frozenset(
+    "area bar block bottom box boxes button buttons center col column container content entries feed footer form group header holder icon icons inline inner item items label left link links list "
+    "main nav outer page panel post posts region right rail row section sidebar site slot small thread title top unit wrap wrapper zone".split()
+)
+#: Words that stand beside them in a class or id; within an article only names made of both count.
+BESIDE = frozenset(
+    "area bar block bottom box boxes button buttons center col column container content entries feed footer form group header holder icon icons inline inner item items label left link links list "
+    "main nav outer page panel post posts region right rail row section sidebar site slot small thread title top unit wrap wrapper zone".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl figure table".split())
 SHARE = 0.8  # of a page's text: the deepest container that holds it
@@ -72,50 +85,57 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Page:
-    """A page's elements and its text blocks, boilerplate left out."""
+    """A page's elements, in the order in which they open, and its text blocks, boilerplate left
+    out.  What an element inherits is kept with it, so work follows the page's length whatever
+    its nesting."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.key, self.skip, self.meant = ["#"], [-1], [""], [False], [False]
+        self.inner, self.block, self.place = [False], [0], [0]  # in an article; nearest block; number of the path
+        self.places: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parse(source)
 
     def _open(self, stack: list[int], tag: str, attrs: str) -> None:
         found = {k.lower(): html.unescape((v or "").strip("\"'")).lower() for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
-        classes, role = found.get("class", ""), found.get("role", "")
-        up = stack[-1]
-        inner = any(self.tag[i] in ("article", "main") for i in stack)
+        classes, role, up = found.get("class", ""), found.get("role", ""), stack[-1]
+        inner = self.inner[up]
         skip = (
             self.skip[up] or tag in SKIPPED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
             or tag == "header" and not inner
-            or tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(_PARTS.findall(f"{classes} {found.get('id', '')}"))
+            or tag not in ("html", "body", "article", "main") and _marked(f"{classes} {found.get('id', '')}", inner)
             or bool(_HIDDEN.search(found.get("style", "")))
         )
-        shape = ".".join(sorted({re.sub(r"\d+", "", c) for c in classes.split()} - {""}))
+        shape = ".".join(sorted({re.sub(r"[\d>]+", "", c) for c in classes.split()} - {""}))
+        key = f"{tag}.{shape}" if shape else tag
         self.tag.append(tag)
         self.parent.append(up)
-        self.key.append(f"{tag}.{shape}" if shape else tag)
+        self.key.append(key)
         self.skip.append(skip)
         self.meant.append(tag in ("article", "main") or role in ("article", "main") or found.get("itemprop") == "articlebody")
+        self.inner.append(inner or tag in ("article", "main"))
+        self.block.append(len(self.block) if tag in BLOCKS else self.block[up])
+        self.place.append(self.places.setdefault((self.place[up], key), len(self.places) + 1))
         stack.append(len(self.tag) - 1)
 
     def _parse(self, source: str) -> None:
         stack, parts, linked, links = [0], [], 0, 0
+        held: Counter[str] = Counter()  # open elements by tag
 
         def flush():
             nonlocal linked
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    at = stack[-1]
-                    while at and self.tag[at] not in BLOCKS:
-                        at = self.parent[at]
-                    self.blocks.append((at, text, linked))
+                    self.blocks.append((self.block[stack[-1]], text, linked))
                 parts.clear()
             linked = 0
 
         def close_to(i):
             nonlocal links
-            links -= sum(self.tag[x] == "a" for x in stack[i:])
+            for x in stack[i:]:
+                held[self.tag[x]] -= 1
+                links -= self.tag[x] == "a"
             del stack[i:]
 
         for m in _TOKEN.finditer(source):
@@ -135,7 +155,7 @@ class Page:
                 if tag == "br":
                     parts.append(" ")
                     continue
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if held[tag] else ():
                     if self.tag[stack[i]] == tag:
                         if any(self.tag[x] in BLOCKS for x in stack[i:]) or self.skip[stack[-1]]:
                             flush()
@@ -147,7 +167,7 @@ class Page:
             if tag in BLOCKS or tag in SKIPPED:
                 flush()
             if tag in BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+                for i in range(len(stack) - 1, 0, -1) if held["p"] else ():  # a block ends an open paragraph
                     if self.tag[stack[i]] == "p":
                         close_to(i)
                         break
@@ -155,7 +175,7 @@ class Page:
                         break
             if tag in CLOSES:
                 ended, stop = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(held[x] for x in ended) else ():
                     if self.tag[stack[i]] in stop:
                         break
                     if self.tag[stack[i]] in ended:
@@ -169,6 +189,7 @@ class Page:
             if tag == "body" and any(self.tag[i] == "head" for i in stack):
                 close_to(next(i for i, x in enumerate(stack) if self.tag[x] == "head"))
             self._open(stack, tag, m["attrs"])
+            held[tag] += 1
             links += tag == "a"
         flush()
 
@@ -179,21 +200,51 @@ class Page:
             at = self.parent[at]
         return ">".join(reversed(keys))
 
+    def _sums(self, weight) -> list[float]:
+        """What each element holds, with all in it, of a block's weight (text, linked)."""
+        held = [0.0] * len(self.tag)
+        for at, text, linked in self.blocks:
+            held[at] += weight(text, linked)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        return held
+
+    def _ends(self) -> list[int]:
+        """The number behind the last element in each element."""
+        ends = [i + 1 for i in range(len(self.tag))]
+        for i in range(len(ends) - 1, 0, -1):
+            ends[self.parent[i]] = max(ends[self.parent[i]], ends[i])
+        return ends
+
+    def _sums(self, weight) -> list[float]:
+        """What each element holds, with all in it, of a block's weight (text, linked)."""
+        held = [0.0] * len(self.tag)
+        for at, text, linked in self.blocks:
+            held[at] += weight(text, linked)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+        return held
+
+    def _ends(self) -> list[int]:
+        """The number behind the last element in each element."""
+        ends = [i + 1 for i in range(len(self.tag))]
+        for i in range(len(ends) - 1, 0, -1):
+            ends[self.parent[i]] = max(ends[self.parent[i]], ends[i])
+        return ends
+
     def best(self) -> int:
         """The container of the page's text; 0, the whole page, if there is no better one."""
-        mass = [0.0] * len(self.tag)
-        for at, text, linked in self.blocks:
-            weight = len(text) * max(0.0, 1 - linked / len(text))
-            while at >= 0:
-                mass[at] += weight
-                at = self.parent[at]
+        mass = self._sums(lambda text, linked: max(0, len(text) - linked))
         if not mass[0]:
             return 0
+        under = [False] * len(mass)  # an element meant for text is above
+        for i in range(1, len(mass)):
+            under[i] = under[self.parent[i]] or self.meant[self.parent[i]]
         meant = [i for i in range(1, len(mass)) if self.meant[i] and not self.skip[i] and mass[i] > 0]
-        outer = [i for i in meant if not any(self.meant[j] for j in self._above(i))]
+        outer = [i for i in meant if not under[i]]
         if outer and sum(mass[i] for i in outer) >= MEANT_SHARE * mass[0]:
-            at = outer[0]
-            while any(i != at and at not in self._above(i) for i in outer):
+            at, ends = outer[0], self._ends()
+            while ends[at] <= outer[-1]:
                 at = self.parent[at]
             if len(outer) == 1:
                 at = max((i for i in meant if mass[i] == mass[at]), default=at)  # of equals the deepest
@@ -201,52 +252,46 @@ class Page:
         full = [i for i in range(len(mass)) if mass[i] >= SHARE * mass[0] and (i == 0 or self.tag[i] in BLOCKS and self.tag[i] != "p")]
         return self._grown(full[-1], PROSE) if full else 0
 
-    def _above(self, at: int) -> list[int]:
-        found = []
-        while at > 0:
-            at = self.parent[at]
-            found.append(at)
-        return found
-
     def _grown(self, at: int, kinds: frozenset[str]) -> int:
         """The highest container above ``at`` with a child of these kinds that holds unlinked text."""
-        above = self._above(at)
-        inside, best = {at, *above}, at
-        for i, text, linked in self.blocks:
-            while i > 0 and i not in inside:
-                up = self.parent[i]
-                if up in above and linked < len(text) and self.tag[i] in kinds:
-                    best = min(best, up)
-                i = up
-        return best
+        inside, up = {at}, at
+        while up > 0:
+            up = self.parent[up]
+            inside.add(up)
+        plain = self._sums(lambda text, linked: linked < len(text))
+        found = [self.parent[i] for i in range(1, len(self.tag)) if i not in inside and self.parent[i] in inside and self.parent[i] != at and plain[i] and self.tag[i] in kinds]
+        return min([at, *found])
 
     def find(self, paths: list[str]) -> list[int]:
         """The containers with text of the first path that has any."""
+        held = self._sums(lambda text, linked: len(text))
         for path in paths:
-            last = path.rpartition(">")[2]
-            found = [i for i in range(1, len(self.tag)) if self.key[i] == last and not self.skip[i] and self.path(i) == path]
-            held = self._mass(found)
-            if any(held.values()):
-                return [i for i in found if held[i]]
+            place = 0
+            for key in path.split(">"):
+                place = self.places.get((place, key), -1)
+            found = [i for i in range(1, len(self.tag)) if self.place[i] == place and not self.skip[i] and held[i]]
+            if found:
+                return found
         return []
 
-    def _mass(self, nodes: list[int]) -> dict[int, int]:
-        held = dict.fromkeys(nodes, 0)
-        for at, text, _ in self.blocks:
-            while at >= 0:
-                if at in held:
-                    held[at] += len(text)
-                at = self.parent[at]
-        return held
-
     def text(self, containers: list[int]) -> str:
-        out = []
-        for at, text, _ in self.blocks:
-            while at > 0 and at not in containers:
-                at = self.parent[at]
-            if at in containers:
-                out.append(text)
-        return "\n".join(out)
+        inside = [False] * len(self.tag)
+        for at in containers:
+            inside[at] = True
+        for i in range(1, len(inside)):
+            inside[i] = inside[i] or inside[self.parent[i]]
+        return "\n".join(text for at, text, _ in self.blocks if inside[at])
+
+
+def _marked(names: str, inner: bool) -> bool:
+    """Does a class or id mark boilerplate?  Within an article only if all its words may."""
+    if not inner:
+        return not WORDS.isdisjoint(_PARTS.findall(names))
+    for name in names.split():
+        parts = set(_PARTS.findall(name))
+        if not WORDS.isdisjoint(parts) and parts <= WORDS | BESIDE:
+            return True
+    return False
 
 
 def _vote(batch: pa.RecordBatch) -> pa.RecordBatch:
