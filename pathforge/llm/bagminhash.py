@@ -25,7 +25,9 @@ is verified by the exact multiset overlap.
 Copies: texts with one word sequence are one text, whose id is their least.  A text of one
 to four words has one shingle of all its words.  A text without words (null, empty) is alone.
 Rows with a null id are left out.  Rows that repeat an id and a text count once; an id with
-several texts is held against others by the greatest of them.
+several texts is held against others by the greatest of them.  An empty table gives an empty
+result.  Texts of any length are read whole; other columns are not read, but for ``keep_one``,
+which returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ ROWS, BANDS = 5, 30  # a pair at 0.8 shares no band with probability 7e-6
 TURNS = ((1, 1), (7, 2))  # (step to the other bands, members looked at)
 PART = 1024  # members of a bucket that are ordered together
 BLOCK, BLOCK_BYTES = 2048, 8 << 20  # of a bucket's members, in one side of a whole comparison
-MEMBERS_A_TASK = 256  # texts that one task holds against one leader
+MEMBERS_A_TASK, BYTES_A_TASK = 256, 16 << 20  # texts that one task holds against one leader
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -174,10 +176,11 @@ def _verify(members: pa.Table, lead: pa.Table) -> pa.Table:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts overlap by the threshold.  b is the leader: its text is sent
-    once for every MEMBERS_A_TASK members, a member's once."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS_A_TASK).alias("n"))
+    once for every MEMBERS_A_TASK members or BYTES_A_TASK of them, a member's once."""
+    sized = pairs.join(texts.select(F.col("doc_id").alias("a"), "size"), "a")
+    salts = sized.groupBy("b").agg(F.ceil(F.greatest(F.count("*") / MEMBERS_A_TASK, F.sum("size") / BYTES_A_TASK)).alias("n"))
     members = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "n"))
-    members = members.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "b", "salt", "text").toDF("a", "b", "salt", "text")
+    members = members.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "b", "salt", "text")
     leads = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(texts.withColumnRenamed("doc_id", "b"), "b")
     leads = leads.select("b", F.col("salt").cast("long"), "text").toDF("lead", "part", "lead_text")
     return members.groupBy("b", "salt").cogroup(leads.groupBy("lead", "part")).applyInArrow(_verify, "a long, b long")
@@ -223,7 +226,7 @@ def _whole(block: pa.Table) -> pa.Table:
 
 def _compared_whole(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the components of every bucket of ``rows`` (key, band, rep, root)."""
-    sized = rows.join(texts.select(F.col("doc_id").alias("rep"), F.octet_length("text").cast("long").alias("size")), "rep")
+    sized = rows.join(texts.select(F.col("doc_id").alias("rep"), "size"), "rep")
     parts = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     main = F.max(F.struct("n", "size", "root"))  # of the largest component, whose members need not meet each other
     blocks = parts.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -240,7 +243,7 @@ def _compared_whole(rows: DataFrame, reps: DataFrame, texts: DataFrame) -> DataF
     last = F.col("others") - 1 + F.when(in_main, 0).otherwise(F.col("mains"))
     dealt = dealt.select("key", "band", "rep", "root", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "rep", "root")
-    full = dealt.join(reps.select("rep", "bands"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    full = dealt.join(reps.select("rep", "bands"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     return full.groupBy("key", "i", "j").applyInArrow(_whole, "a long, b long")
 
 
@@ -257,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("h", "lead")
     members = scratch.save(banded.join(shared, "h").select("h", "band", "rep", "lead"))
-    texts = scratch.save(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+    texts = scratch.save(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("size", F.octet_length("text").cast("long")))
 
     def apart(roots: DataFrame) -> DataFrame:
         """Rows (key, band, rep, root, n) of the buckets that hold several components."""
