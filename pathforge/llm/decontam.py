@@ -9,8 +9,8 @@ So every document that contains an item holds at least one hash of its sketch, a
 lost; documents probe the sketches with each of their distinct shingles.  Candidates are
 verified by counting the item's shingles, as text, in the document.
 
-Sketches and items are broadcast up to ``SMALL_ROWS`` rows, counted beforehand; beyond that
-the joins shuffle.  So it is with the candidates that go back to the documents.
+Sketches and items are broadcast up to ``SMALL_ROWS`` rows and ``SMALL_BYTES`` of shingles,
+counted beforehand; beyond that the joins shuffle.  So it is with the candidates that go back to the documents.
 
 Null text: no shingles.  An item of fewer than five words has none either and is not searched
 for; nor is one with a null id.  Documents with a null id are left out.  Repeated rows of an
@@ -27,7 +27,7 @@ from .scratch import Scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
-SMALL_ROWS = 1_000_000
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
 BLANK = " \t\n\x0b\f\r"
 
 
@@ -52,9 +52,10 @@ def shingles(w: str) -> Column:
     return _windows(w, lambda i: F.concat_ws(" ", F.slice(F.col(w), i + 1, F.lit(SHINGLE))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast what is counted and small."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def _small(df: DataFrame, n_bytes: Column | None = None) -> DataFrame:
+    """Broadcast what is counted and small, in rows and, where rows have texts, in bytes."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(n_bytes), F.lit(0)) if n_bytes is not None else F.lit(0)).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and size <= SMALL_BYTES else df
 
 
 def sketches(items: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def contained_items(
     # back to the documents: each candidate's shingles are counted as text
     near = docs.join(_small(found), "doc_id").withColumn("w", words(F.col("text")))
     wanted = items.select("item_key", "item_id", shingles("w").alias("item_shingles"))
-    near = near.join(_small(wanted), "item_key")
+    near = near.join(_small(wanted, F.aggregate("item_shingles", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)), "item_key")
     shared = near.select("doc_id", "item_id", F.size("item_shingles").alias("n"), F.size(F.array_intersect("item_shingles", shingles("w"))).alias("m"))
     best = shared.where(F.col("m") >= F.lit(THRESHOLD) * F.col("n")).groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("c"), "n", "m")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n").cast("long").alias("n_shingles"), F.col("best.m").cast("long").alias("n_shared"), F.col("best.c").alias("containment"))
@@ -89,5 +90,8 @@ def contained_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no test item, with all columns."""
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.save(contained_items(docs, items, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = scratch.save(contained_items(docs, items, id_col, text_col).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(_small(gone), docs[id_col] == F.col(name), "left_anti")

@@ -18,7 +18,9 @@ the exit state of the stripe before, which needs another round only for a word t
 whole stripe.  A prefix sum over the weights gives each text's count.
 
 Null text: counted as empty, 0 tokens.  Special-token strings inside a text count as one
-token each, as the library does by default; no others are added.
+token each, as the library does by default; no others are added.  Rows are counted one by one,
+repeated rows and null ids included; an empty table gives an empty result.  Other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -179,7 +179,7 @@ def _bits(table: pa.Table, kind: int, total: int) -> np.ndarray:
 
 
 def _send_anchors(table: pa.Table, *, make) -> pa.Table:
-    block, key = make(table), table.column(_BLOCK)[0].as_py()
+    block, key = make(table), table.column(table.num_columns - 1)[0].as_py()
     keys = _five(block.anchors)
     return _table([(b, key, keys[lo:hi].tobytes(), np.packbits(block.several[lo:hi]).tobytes(), None) for b, lo, hi in _by_bucket(block.anchors)], SENT)
 
@@ -211,7 +211,7 @@ def _match_anchors(table: pa.Table) -> pa.Table:
 def _send_windows(docs: pa.Table, back: pa.Table, *, make) -> pa.Table:
     if docs.num_rows == 0:
         return _table([], SENT)
-    block, key = make(docs), docs.column(_BLOCK)[0].as_py()
+    block, key = make(docs), docs.column(docs.num_columns - 1)[0].as_py()
     block.candidates(_bits(back, 0, len(block.anchors)))
     keys = _five(block.windows)
     extra = np.ascontiguousarray(block.extra).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -273,18 +273,20 @@ def dedup_substrings(
         raise ValueError("the period must be below the window size")
     own = ["n_words", "n_removed", "spans", "kept_text"]
     names = [c for c in docs.columns if c not in own]
-    docs = docs.select(*names)
+    docs, dealt = docs.select(*names), _BLOCK
+    while dealt in {c.lower() for c in names}:
+        dealt += "_"
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_blocks, n_buckets = max(1, math.ceil(n_bytes / block_bytes)), max(1, math.ceil(n_bytes / bucket_bytes))
     make = partial(Block, id_col=id_col, text_col=text_col, size=size, period=period, cover=cover, buckets=n_buckets)
-    docs = docs.withColumn(_BLOCK, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)))
+    docs = docs.withColumn(dealt, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)))
     by_block = lambda df, key: df.groupBy(key)
-    anchors = by_block(docs, _BLOCK).applyInArrow(_of_one(_send_anchors, make=make), SENT)
+    anchors = by_block(docs, dealt).applyInArrow(_of_one(_send_anchors, make=make), SENT)
     back = anchors.groupBy("bucket").applyInArrow(_match_anchors, BACK)
-    sent = by_block(docs, _BLOCK).cogroup(by_block(back, "block")).applyInArrow(_of_two(_send_windows, make=make), SENT)
+    sent = by_block(docs, dealt).cogroup(by_block(back, "block")).applyInArrow(_of_two(_send_windows, make=make), SENT)
     back = back.unionByName(sent.groupBy("bucket").applyInArrow(_match_windows, BACK))
     out = T.StructType(
         [f for f in docs.schema if f.name in names]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept_text", T.StringType())]
     )
-    return by_block(docs, _BLOCK).cogroup(by_block(back, "block")).applyInArrow(_of_two(_remove, make=make, names=out.names), out)
+    return by_block(docs, dealt).cogroup(by_block(back, "block")).applyInArrow(_of_two(_remove, make=make, names=out.names), out)

@@ -3,11 +3,13 @@ import hashlib
 import io
 import json
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pathforge.llm import binpack, htmltext, kdshard, quality, warc
@@ -73,12 +75,27 @@ LONG = "a long text " * 20
         (f"<body><div><article><p>{LONG}</article><article><p>part two</article></div><div>y</div>", None, [LONG.strip(), "part two"]),
         ("<body><div class=part><p>one</div><div class=part><p>two</div>", ["body>div.part"], ["one", "two"]),
         ("<body><div class=part></div><div class=text><p>one</div>", ["body>div.part"], ["one"]),
+        (f"<body>{''.join(f'<div class=sec><h2>H{i}</h2><p>{i} text</p></div>' for i in range(4))}", ["body>div.sec"], [x for i in range(4) for x in (f"H{i}", f"{i} text")]),
+        ("<article><p>Intro</p><div class='notice-of-award'><p>Body</p></div><div class='share-box'>x</div><div class=ad>y</div><div id=comments>z</div></article>", None, ["Intro", "Body"]),
     ],
 )
 def test_article_text_beside_the_container_stays(source, paths, want):
     assert htmltext.extract(source, paths) == "\n".join(want)
 
 
+def test_nesting_costs_its_length():
+    deep = htmltext.Page("<div>" * 20_000 + "deep text" + "</div>" * 20_000 + "<b>" * 5_000 + "</i></p>" * 5_000)
+    assert deep.text([deep.best()]) == "deep text"
+    assert deep.text(deep.find([">".join(["div"] * 3)])) == "deep text"
+    began = time.process_time()
+    for n in (20_000, 40_000):
+        page = htmltext.Page("<div>" * n + "x" + "</div>" * n)
+        page.best(), page.find(["div"])
+    assert time.process_time() - began < 5
+    long = "word " * 400_000
+    assert htmltext.extract(f"<body><nav>n</nav><article><p>{long}</article>", None) == long.strip()
+
+
 def test_host_paths_outvote_an_odd_page(spark):
     good = "<body><div class='c12 story'><p>{0}</p></div><div class=extra><p>teaser</p></div></body>"
     odd = "<body><div class='c7 story'><p>short</p></div><div class=extra><p>{0}</p></div></body>".format("a long teaser that holds most of this page " * 4)
@@ -126,15 +143,16 @@ def test_a_huge_group_of_copies_is_split(spark):
 
 
 def check_packing(rows, pieces, capacity=2048):
-    path = tokenizer_file("byte_bpe_50k.json")
     from collections import defaultdict
 
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     want = []
     for i, text in rows:
-        ids = binpack.token_ids([text or ""], path)[0]
-        assert ids[-1] == 0
-        for p, (s, n) in enumerate(binpack.cut(len(ids), capacity)):
-            want.append((str(i), p, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % capacity or min(capacity, len(ids))
+        starts = [0, *range(first, len(ids), capacity)]
+        for p, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want.append((str(i), p, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())))
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == sorted(want)
     bins = defaultdict(list)
     for r in pieces:
@@ -169,6 +187,18 @@ def test_cut_and_long_texts():
     assert [i for p in binpack.slices(text, 100) for i in binpack._tokenizer(path).encode(p, add_special_tokens=False).ids] == whole
 
 
+def test_evolution_beats_its_first_best_fit():
+    """Sizes that best-fit packs badly: triples that fill a bin exactly."""
+    rng = np.random.default_rng(1)
+    cuts = np.sort(rng.integers(100, 1948, (120, 2)), axis=1)
+    sizes = np.concatenate([cuts[:, 0], cuts[:, 1] - cuts[:, 0], 2048 - cuts[:, 1]])
+    sizes = np.sort(sizes[sizes > 0])[::-1].copy()
+    first = binpack.evolve(sizes, [], 2048, 3, generations=0)[0]
+    best = binpack.evolve(sizes, [], 2048, 3)[0]
+    assert binpack.fitness(best, sizes, 2048) > binpack.fitness(first, sizes, 2048)
+    assert len(np.unique(best)) <= len(np.unique(first)) and binpack.fills(best, sizes).max() <= 2048
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(0)
     sizes = np.sort(rng.integers(1, 2048, 500))[::-1].copy()
@@ -180,6 +210,18 @@ def test_crossover_keeps_every_piece():
     assert scores == sorted(scores, reverse=True)
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"a b {passage} c"), (2, f"{passage} d e f"), (3, None), (None, passage), (4, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(c).alias(c) for c in ("n_words", "spans", "kept_text", "_gone", "_block")])
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.substring_removal, corpus_pipeline.decontamination, corpus_pipeline.quality_rules):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        assert all(r.n_words == "n_words" and r["_gone"] == "_gone" and r["_block"] == "_block" for r in out.collect())
+    cut = {r.doc_id: r.text for r in corpus_pipeline.substring_removal(spark, docs, "").collect()}
+    assert cut == {1: rows[0][1], 2: "d e f", 3: None, None: passage}
+
+
 def test_pipeline_matches_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

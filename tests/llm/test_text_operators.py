@@ -101,7 +101,7 @@ def test_substring_dedup_matches_brute_force(spark):
     rows += [(50, rows[0][1]), (51, edited(rng, rows[3][1], 2)), (52, "same " * 40), (53, "same " * 30), (54, passage * 2 + prose(rng, 30_000))]
     rng.shuffle(rows)
     odd = [(-1 - k, t) for k, (_, t) in enumerate(ODD)] + [(None, passage)]
-    df = make(spark, rows + odd, ["kept_text", "lang"])
+    df = make(spark, rows + odd, ["kept_text", "lang", "_block"])
     out = substring_dedup.dedup_substrings(df, block_bytes=3000, bucket_bytes=5000)
     assert "lang" in out.columns
     want = cut_passages(rows + odd)
@@ -182,6 +182,45 @@ def library_counts(texts):
     return [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def all_pairs_classes(rows):
+    """{doc_id: class_id} from the overlap of all pairs, as one product of matrices."""
+    grams = [Counter(zip(*(words(t)[k:] for k in range(5)), strict=False)) for _, t in rows]
+    number = {}
+    for g in grams:
+        for x, n in g.items():
+            for i in range(n):
+                number.setdefault((x, i), len(number))
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for r, g in enumerate(grams):
+        held[r, [number[x, i] for x, n in g.items() for i in range(n)]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size - both) - 1e-4
+    least = np.array([i for i, _ in rows])
+    while True:
+        new = np.where(near, least, least.max()).min(axis=1)
+        if (new == least).all():
+            return {i: int(c) for (i, _), c in zip(rows, least, strict=True)}, int(np.triu(near, 1).sum())
+        least = new
+
+
+@pytest.mark.parametrize("kind", ["template", "dense"])
+def test_near_copies_of_one_template_match_all_pairs(spark, kind):
+    """Texts that share all but a few words fall into the same large buckets; few or most of
+    their pairs are links."""
+    rng = random.Random(11)
+    base = prose(rng, 150, 5000)
+    rows = []
+    for i in range(300):
+        text = edited(rng, base, 3 if kind == "template" else 2)
+        rows.append((10 * i, text))
+        if kind == "template":
+            rows += [(10 * i + 1, edited(rng, text, 2)), (10 * i + 2, edited(rng, text, 3))]
+    want, links = all_pairs_classes(rows)
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(make(spark, rows)).collect()}
+    assert links > 300
+    assert got == want
+
+
 def test_transducer_counts_as_the_library(spark):
     path = tokenizer_file("word_bpe_49k.json")
     texts = [t or "" for t in ODD_TEXTS] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
@@ -205,7 +244,7 @@ def test_decontamination_matches_brute_force(spark):
     docs += [(100 + i, f"{prose(rng, 500)} {edited(rng, t, k)} {prose(rng, 90)}") for i, (_, t) in enumerate(items[:12]) for k in (0,)]
     docs += [(200 + i, f"{prose(rng, 50)}\n{edited(rng, t, 1 + i % 3)}\n") for i, (_, t) in enumerate(items[12:24])] + [*ODD[:4], docs[30]]
     item_df = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(1))
-    df = make(spark, docs, ["h", "w", "item_id"])
+    df = make(spark, docs, ["h", "w", "item_id", "_gone"])
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontam.contained_items(df, item_df).collect()}
     assert got == contained(docs, items)
     assert len(got) > 12
