@@ -269,14 +269,14 @@ def test_session_edits(spark):
     assert (session.get_edge("a", "b").w0, session.get_edge("b", "c").w0) == (511, 210)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_continued_reports_equal_new_ones(spark, seed):
     """Edits that insert, change and remove edges, and make and unmake sources and sinks."""
     rng = random.Random(50 + seed)
-    edges = {**random_dag(rng, 8), **{(f"x{i}", f"x{i + 1}"): [5 * i, *[None] * 7] for i in range(40)}}
+    edges = {**random_dag(rng, 8), **{(f"x{i}", f"x{i + 1}"): [5 * i, *[None] * 7] for i in range(4)}}
     session = GraphSession(frame(spark, edges))
     k = 12
-    for turn in range(3):
+    for turn in range(2 + seed):
         want = sorted(brute(edges), key=lambda p: (p[0], p[1] + ">"))[:k]
         assert [(r.weight, r.path) for r in session.report(k).orderBy("rank").collect()] == want, turn
         some = [e for e in sorted(edges) if e[0][0] == "v"]
@@ -303,7 +303,8 @@ def test_deviations(spark):
     arcs = scratch.save(graph.arcs(edges))
     root = deviations.roots(graph.sources(edges).withColumnRenamed("name", "v"), tree)
     children = deviations.spur(root, arcs, tree, scratch)
-    assert sorted((r.src, r.dst, r.cost) for r in children.collect()) == [("A", "C", 400), ("B", "G", 1200 - 600), ("F", "I", 1200)] or children.count() >= 3
+    # the shortest path is A B F H, of cost -4
+    assert sorted((r.src, r.dst, r.cost, r.detour) for r in children.collect()) == [("A", "C", 400, 800), ("B", "G", 600, 1000), ("F", "I", 1200, 1600)]
     pruned = children.limit(1).select(F.col("parent_id").alias("node_id"), "src", "dst", "slot")
     assert deviations.spur(root, arcs, tree, scratch, pruned).count() == children.count() - 1
     assert deviations.promoted(children, 400) == children.where("cost <= 400").count()
