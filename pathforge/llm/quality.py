@@ -4,8 +4,9 @@ A text is compressed by zstandard as a whole and in fixed chunks of ``CHUNK_BYTE
 ratio (compressed over plain bytes) must lie between the limits of its length band: less
 means repetition, more means noise that does not compress.  Short texts carry zstandard's
 fixed cost, so the limits widen as length falls, and below ``LEAST_BYTES`` there is no
-verdict by compression.  A text also falls if more than ``BAD_CHUNK_SHARE`` of its whole
-chunks lie outside ``CHUNK_LIMITS``.
+verdict by compression.  A text also falls if more than ``BAD_CHUNK_SHARE`` of its chunks lie
+outside ``CHUNK_LIMITS``; what is left behind the last whole chunk is judged in a chunk that
+ends with the text, and a text shorter than a chunk by its band alone.
 
 Null or empty text: no words, ``base_failed``, not kept.  Rows are judged one by one, so
 ties, repeated rows and empty tables need no care, and other columns are not read.
@@ -51,18 +52,25 @@ def band(n_bytes: int) -> tuple[float, float] | None:
 
 
 def compression(raw: bytes, press) -> tuple[float | None, int, int, bool]:
-    """Ratio of the whole, whole chunks, chunks outside the limits, and the verdict."""
+    """Ratio of the whole, chunks, chunks outside the limits, and the verdict."""
     limits = band(len(raw))
     if limits is None:
         return None, 0, 0, True
     ratio = len(press(raw)) / len(raw)
-    n = bad = 0
-    if len(raw) >= 2 * CHUNK_BYTES:
-        n = len(raw) // CHUNK_BYTES
-        for i in range(n):
-            r = len(press(raw[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES])) / CHUNK_BYTES
-            bad += not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1]
-    return ratio, n, bad, limits[0] <= ratio <= limits[1] and bad <= BAD_CHUNK_SHARE * n
+    starts = chunk_starts(len(raw))
+    bad = 0
+    for i in starts:
+        r = len(press(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES
+        bad += not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1]
+    return ratio, len(starts), bad, limits[0] <= ratio <= limits[1] and bad <= BAD_CHUNK_SHARE * len(starts)
+
+
+def chunk_starts(n_bytes: int) -> list[int]:
+    """Where the chunks of a text of so many bytes begin; together they cover it whole."""
+    starts = [*range(0, n_bytes - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if starts and n_bytes % CHUNK_BYTES:
+        starts.append(n_bytes - CHUNK_BYTES)
+    return starts
 
 
 def duplicate_lines(raw: bytes) -> int:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -84,6 +85,23 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.score_quality(docs.limit(0)).count() == 0
 
 
+def test_every_byte_of_a_text_stands_in_a_chunk():
+    press = zstandard.ZstdCompressor(level=3).compress
+    rng = random.Random(5)
+    size = quality.CHUNK_BYTES
+    for n in (0, 127, size - 1, size, size + 1, 2 * size - 1, 2 * size, 5 * size + 77):
+        starts = quality.chunk_starts(n)
+        assert set().union(*(range(i, i + size) for i in starts)) == (set(range(n)) if n >= size else set())
+    clean = prose(rng, 20_000, 3000).encode()
+    clean = clean[: 3 * size]
+    low, high = quality.band(len(clean) + size - 1)
+    spoilt = clean + b"ab " * ((size - 1) // 3)  # less than a chunk, behind the last whole one
+    ratio, n, bad, kept = quality.compression(spoilt, press)
+    rates = [len(press(spoilt[i : i + size])) / size for i in (0, size, 2 * size, len(spoilt) - size)]
+    assert (n, bad) == (4, sum(not quality.CHUNK_LIMITS[0] <= r <= quality.CHUNK_LIMITS[1] for r in rates)) and rates[-1] < 0.2
+    assert kept == (low <= ratio <= high and bad <= quality.BAD_CHUNK_SHARE * 4)
+
+
 def test_compression_parts_labelled_junk_from_clean_text(spark):
     top = "/root/testdata/sf0.1"
     judged = quality.score_quality(spark.read.parquet(f"{top}/documents.parquet")).join(spark.read.parquet(f"{top}/labels.parquet").select("doc_id", "quality"), "doc_id")
@@ -231,6 +249,24 @@ def test_transducer_counts_as_the_library(spark):
     assert fst_tokens.token_table(make(spark, ODD).limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_transducer_on_words_that_fill_stripes(monkeypatch, few):
+    monkeypatch.setattr(fst_tokens, "FEW", few)
+    rng = random.Random(8)
+    texts = []
+    for n in (254, 255, 256, 257, 511, 512, 513, 3000, 20_000):
+        word = "".join(rng.choice("etaoinshrdlué") for _ in range(n))
+        texts += [word, f"{word} {word}", f" {word[:7]} {word}!{word[:300]}\n", "x" * n]
+    assert fst_tokens.count_tokens(texts, tokenizer_file("word_bpe_49k.json")).tolist() == library_counts(texts)
+
+
+def test_transducer_time_follows_the_length_of_a_word():
+    word = "abcdefghij" * 100_000
+    began = time.process_time()
+    assert fst_tokens.count_tokens([word], tokenizer_file("word_bpe_49k.json")).tolist() == library_counts([word])
+    assert time.process_time() - began < 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("abcstrevlmd'’ 12!?.,éÉß \n<|>日")), max_size=60), min_size=1, max_size=5))
 def test_transducer_on_any_text(texts):
