@@ -14,8 +14,8 @@ A text is normalised and cut into words by code-point classes (whitespace; lette
 numbers; runs of the rest; contractions), which mark bytes where any state falls back to the
 start.  Bytes are dealt into stripes.  A stripe's state map is the same for every entry state
 after its first mark, so all stripes run in lockstep from there; their heads then run from
-the exit state of the stripe before, which needs another round only for a word that fills a
-whole stripe.  A prefix sum over the weights gives each text's count.
+the exit state of the stripe before, which needs another round only for words that fill whole
+stripes: many of them side by side, a few one after the other.  A prefix sum over the weights gives each text's count.
 
 Null text: counted as empty, 0 tokens.  Special-token strings inside a text count as one
 token each, as the library does by default; no others are added.  Rows are counted one by one,
@@ -41,6 +41,7 @@ STRIPE = 256
 CHUNK = 2 << 20
 MAX_STATES = 200_000
 LIMIT = 2048
+FEW = 64  # heads: with no more lanes than these each is run by itself, through all stripes of its word
 
 #: Code points with the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -192,6 +193,24 @@ class Transducer:
             new = self.next[state, column]
         return new, out + self.weight[state, column]
 
+    def _follow(self, i: int, column: np.ndarray, head: np.ndarray, state: np.ndarray, out: np.ndarray, known: np.ndarray, done: np.ndarray) -> None:
+        """Run the head of stripe ``i`` and those that its word fills or ends in after it."""
+        at = int(state[i - 1]) if i else 0
+        while i < len(head) and not done[i]:
+            size, weights = int(head[i]), []
+            for c in column[i, :size].tolist():
+                if self.next[at, c] == -1:
+                    self.add(at, c)
+                weights.append(self.weight[at, c])
+                at = self.next[at, c]
+            out[i, :size] = weights
+            known[i] = done[i] = True
+            if size < STRIPE:  # the mark after the head ends the word
+                out[i, size] += self.end[at]
+                return
+            state[i] = at
+            i += 1
+
     def run(self, column: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """The weight of every byte; the last byte must be a space."""
         n = -(-len(column) // STRIPE)
@@ -208,10 +227,15 @@ class Transducer:
             lanes = order[: begun[i]]
             if len(lanes):
                 state[lanes], out[lanes, i] = self.step(state[lanes], columns[i, lanes], marks[i, lanes])
-        known = head < STRIPE
+        known, done = head < STRIPE, head == 0
         todo = np.flatnonzero(head > 0)
         while len(todo):  # heads, from the exit state of the stripe before
             ready = todo[(todo == 0) | known[todo - 1]]
+            if len(ready) <= FEW:
+                for i in ready.tolist():
+                    self._follow(i, column, head, state, out, known, done)
+                todo = todo[~done[todo]]
+                continue
             entry = np.where(ready > 0, state[ready - 1], 0)
             for i in range(int(head[ready].max())):
                 on = head[ready] > i
@@ -221,8 +245,8 @@ class Transducer:
             inner = head[ready] < STRIPE
             out[ready[inner], head[ready[inner]]] += self.end[entry[inner]]
             state[ready[~inner]] = entry[~inner]
-            known[ready] = True
-            todo = todo[~np.isin(todo, ready)]
+            known[ready] = done[ready] = True
+            todo = todo[~done[todo]]
         whole = np.flatnonzero(head[1:] == 0) + 1  # the mark at the very start does so as well
         out[whole, 0] += self.end[state[whole - 1]]
         return out.ravel()[: out.size - pad]
