@@ -24,7 +24,6 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -58,11 +57,6 @@ BESIDE = frozenset(
     "area bar block bottom box boxes button buttons center col column container content entries feed footer form group header holder icon icons inline inner item items label left link links list "
     "main nav outer page panel post posts region right rail row section sidebar site slot small thread title top unit wrap wrapper zone".split()
 )
-#: Words that stand beside them in a class or id; within an article only names made of both count.
-BESIDE = frozenset(
-    "area bar block bottom box boxes button buttons center col column container content entries feed footer form group header holder icon icons inline inner item items label left link links list "
-    "main nav outer page panel post posts region right rail row section sidebar site slot small thread title top unit wrap wrapper zone".split()
-)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 PROSE = HEADINGS | frozenset("p blockquote pre ul ol dl figure table".split())
 SHARE = 0.8  # of a page's text: the deepest container that holds it
@@ -216,22 +210,6 @@ class Page:
             ends[self.parent[i]] = max(ends[self.parent[i]], ends[i])
         return ends
 
-    def _sums(self, weight) -> list[float]:
-        """What each element holds, with all in it, of a block's weight (text, linked)."""
-        held = [0.0] * len(self.tag)
-        for at, text, linked in self.blocks:
-            held[at] += weight(text, linked)
-        for i in range(len(held) - 1, 0, -1):
-            held[self.parent[i]] += held[i]
-        return held
-
-    def _ends(self) -> list[int]:
-        """The number behind the last element in each element."""
-        ends = [i + 1 for i in range(len(self.tag))]
-        for i in range(len(ends) - 1, 0, -1):
-            ends[self.parent[i]] = max(ends[self.parent[i]], ends[i])
-        return ends
-
     def best(self) -> int:
         """The container of the page's text; 0, the whole page, if there is no better one."""
         mass = self._sums(lambda text, linked: max(0, len(text) - linked))
