@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import U, chunks, mix64, text_bytes, windows, words_of
+from .words import U, batchwise, chunks, mix64, text_bytes, windows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the least id of its class of near copies."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = scratch.save(docs.mapInArrow(lambda batches: map(_sign, batches), SIGNED))
+    signed = scratch.save(docs.mapInArrow(lambda batches: batchwise(_sign, batches), SIGNED))
     # one aggregation finds each text's least id and that row's bands
     reps = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
     reps = scratch.save(reps.select("key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import text_bytes
+from .words import batchwise, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
@@ -322,7 +322,7 @@ def pack_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``path`` names the tokenizer file on each executor."""
     scratch = Scratch(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = picked.mapInArrow(lambda batches: (_pieces(b, path, capacity) for b in batches), PIECES)
+    pieces = picked.mapInArrow(lambda batches: batchwise(lambda b: _pieces(b, path, capacity), batches), PIECES)
     pieces = scratch.save(pieces.withColumn("item", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("item"), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < capacity)

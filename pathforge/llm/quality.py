@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, chunks, mix64, windows, words_of
+from .words import U, batchwise, chunks, mix64, windows, words_of
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -142,7 +142,7 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the base counts, the compression figures and ``kept``."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(lambda batches: map(_measure, batches), SCHEMA)
+    return picked.mapInArrow(lambda batches: batchwise(_measure, batches), SCHEMA)
 
 
 def _keep(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -154,4 +154,4 @@ def _keep(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
 def keep_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; no shuffle."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda batches: (_keep(b, at) for b in batches), docs.schema)
+    return docs.mapInArrow(lambda batches: batchwise(lambda b: _keep(b, at), batches), docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import U, mix64, text_bytes, windows, words_of
+from .words import U, give_back, mix64, text_bytes, windows, words_of
 
 SIZE = 13
 PERIOD = 7
@@ -140,14 +140,20 @@ class Block:
 
 def _of_one(f, **fixed):
     def run(table: pa.Table) -> pa.Table:
-        return f(table, **fixed)
+        try:
+            return f(table, **fixed)
+        finally:
+            give_back()
 
     return run
 
 
 def _of_two(f, **fixed):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(left, right, **fixed)
+        try:
+            return f(left, right, **fixed)
+        finally:
+            give_back()
 
     return run
 

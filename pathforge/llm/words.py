@@ -7,7 +7,8 @@ numpy; byte-level temporaries are bounded by ``SEGMENT`` whatever a text's lengt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,6 +130,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a worker would hold while it waits for a task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def batchwise(work: Callable[[pa.RecordBatch], pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``work`` makes of each batch; freed memory goes back to the system after each."""
+    for batch in batches:
+        yield work(batch)
+        give_back()
+
+
 def chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``limit`` bytes."""
     data, offsets = text_bytes(column)
